@@ -9,12 +9,63 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.leakage import find_leaks
 from lodeseek.llm.lookalike import fold_column, lookalike_pairs
+from lodeseek.llm.mixing import mix_sources
+from lodeseek.llm.provenance import not_hand_written
+from lodeseek.llm.ranking import rank_together
+from lodeseek.llm.salience import term_scores
+from lodeseek.llm.secrets import redact, secrets_in
+from lodeseek.llm.splitting import split_oversized
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_ranking(spark, d).where("place = 1").select("query_id", "match_id")
+
+
+def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Every match with its scaled ranks, projection and place."""
+    return rank_together(_t(spark, d, "search_matches"), "query_id", "match_id", {"similarity": 1, "score": 1})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_hand_written(_t(spark, d, "chunks")).select("file_path")
+
+
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The same files with the reason and their layout figures."""
+    return not_hand_written(_t(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where("pieces > 1").select("id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces, renumbered."""
+    return split_oversized(_t(spark, d, "chunks"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return term_scores(_t(spark, d, "chunks")).where("df between 2 and 5 and tf >= 3").select("id", "term")
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of every chunk with its score."""
+    return term_scores(_t(spark, d, "chunks")).withColumn("score", F.round("score", 6))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets_in(_t(spark, d, "chunks")).select("id", "line_no").distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks with their secrets blotted out."""
+    return redact(_t(spark, d, "chunks").select("id", "file_path", "chunk_text").distinct()).select("id", F.col("redacted").alias("chunk_text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -24,6 +75,20 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).withColumn("score", F.round("score", 6))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_report(spark, d).where("short").select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Targets, capacities and actual shares of the mix."""
+    return mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).report
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents the mix uses, for which source and how often."""
+    return mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).selection
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(_t(spark, d, "documents"))
 
