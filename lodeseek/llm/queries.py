@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.llm.leakage import find_leaks
 from lodeseek.llm.lookalike import fold_column, lookalike_pairs
 from lodeseek.llm.mixing import mix_sources
+from lodeseek.llm.neighbours import most_similar, pairs_of
 from lodeseek.llm.provenance import not_hand_written
 from lodeseek.llm.ranking import rank_together
 from lodeseek.llm.salience import term_scores
@@ -48,6 +49,15 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_t(spark, d, "chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(most_similar(_t(spark, d, "chunks"), 5, 0.9), 0.9)
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk, however similar."""
+    return most_similar(_t(spark, d, "chunks"), 5)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return term_scores(_t(spark, d, "chunks")).where("df between 2 and 5 and tf >= 3").select("id", "term")
 

@@ -2,7 +2,70 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from lodeseek.llm import lookalike as L
+
+_RANKS = """
+with m as (select distinct query_id, match_id, try_cast(similarity as double) a, try_cast(score as double) b from search_matches where match_id is not null),
+r as (select query_id, match_id, count(*) over w n,
+        rank() over (partition by query_id order by a nulls first) + (count(*) over (partition by query_id, a) - 1) / 2 ra,
+        rank() over (partition by query_id order by b nulls first) + (count(*) over (partition by query_id, b) - 1) / 2 rb
+      from m window w as (partition by query_id)),
+s as (select query_id, match_id, case when n > 1 then (ra - 1) / (n - 1) else 1.0 end x, case when n > 1 then (rb - 1) / (n - 1) else 1.0 end y from r),
+p as (select *, round(x * sqrt(0.5) + y * sqrt(0.5), 12) projection from s),
+o as (select *, row_number() over (partition by query_id order by projection desc, greatest(x, y) desc, match_id) place from p)
+"""
+
+_TERMS = """
+with c as (select distinct id, identifiers, coalesce(chunk_text, '') t from chunks where id is not null and identifiers is not null),
+terms as (select distinct id, unnest(regexp_split_to_array(trim(identifiers), '\\s+')) term from c),
+df as (select term, count(*) df from terms where term <> '' group by term),
+words as (select id, unnest(regexp_extract_all(t, '[A-Za-z0-9_$]+')) term from c),
+tf as (select id, term, count(*) tf from words group by id, term)
+"""
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _fold_sql(text: str) -> str:
+    """The one form in SQL: full-width ASCII and look-alike letters by translate, blanks and invisible signs by expression, then NFC."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c) for c in range(0x21, 0x7F))
+    alike = L._CYRILLIC + L._GREEK + L._OTHER + L._HYPHENS, L._CYRILLIC_LATIN + L._GREEK_LATIN + L._OTHER_LATIN + "--"
+    gone = "".join(c for c in L._INVISIBLE if c not in "‌‍")
+    e = f"nfc_normalize({text})"
+    e = f"translate({e}, {_lit(wide + alike[0])}, {_lit(plain + alike[1])})"
+    e = f"regexp_replace({e}, '[\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g')"
+    e = f"regexp_replace({e}, '[{gone}]', '', 'g')"
+    e = f"regexp_replace({e}, '([\\x00-\\x{{5ff}}])[\\x{{200c}}\\x{{200d}}]', '\\1', 'g')"
+    e = f"replace(replace(replace({e}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), chr(13) || chr(10), chr(10))"
+    return f"nfc_normalize({e})"
+
+
+SQL = {
+    "p1_found": _RANKS + "select query_id, match_id from o where place = 1",
+    "p1_ranking": _RANKS + "select query_id, match_id, x as rank_0, y as rank_1, projection, cast(place as integer) as place from o",
+    "p4_found": "select distinct id from chunks where length(chunk_text) > 2048",
+    "p5_found": """
+with v as (select distinct id, cast(embedding as double[]) e from chunks where id is not null and embedding is not null),
+u as (select id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from v where list_sum(list_transform(e, lambda y: abs(y))) > 0),
+p as (select a.id a, b.id b, list_inner_product(a.e, b.e) c from u a, u b where a.id <> b.id),
+r as (select *, row_number() over (partition by a order by c desc, b) place from p where c >= 0.9)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where place <= 5
+""",
+    "p6_found": _TERMS + "select t.id, t.term from terms t join df on df.term = t.term join tf on tf.id = t.id and tf.term = t.term where df between 2 and 5 and tf >= 3",
+    "p9_found": """
+with d as (select distinct doc_id, regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') s, length(text) n from documents where doc_id is not null),
+h as (select s, sum(n) n from d group by s), t as (select sum(n) n from (select distinct doc_id, n from d))
+select m.source from mix_targets m left join h on h.s = m.source cross join t
+where coalesce(h.n, 0) * m.max_repeats < m.target_share * t.n
+""",
+    "p10_found": f"""
+with f as (select distinct doc_id, text, md5({_fold_sql("text")}) form from documents where doc_id is not null and text is not null)
+select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text
+""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
