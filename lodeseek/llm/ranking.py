@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.session import staged
+
 HOT = 100_000
 
 
@@ -59,6 +61,7 @@ def rank_together(items: DataFrame, group: str, item: str, scores: dict[str, int
     scaled = rows
     for k in range(len(names)):
         scaled = _scaled_ranks(scaled, f"s{k}", f"r{k}", hot)
+    scaled = staged(scaled, "ranks")
     w = principal_weights(_correlation(scaled, len(names)))
     projection = sum((F.lit(float(x)) * F.col(f"r{k}") for k, x in enumerate(w)), F.lit(0.0))
     best = F.greatest(*(F.col(f"r{k}") for k in range(len(names))), F.lit(0.0))
