@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.plans import incremental
+from lodeseek.plans import incremental, index, search
 
-_MODULES = (incremental,)
+_MODULES = (incremental, index, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["hybrid_search_merged"](spark, sf_dir)
