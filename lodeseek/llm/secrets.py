@@ -60,6 +60,7 @@ _ALONE = re.compile(r"\s*(?:[#/*-]+\s+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)
 _SAID = re.compile(
     r"(?i)(?<![\w-])((?:[\w-]+[_ -])?(?:passwords?|passwort|passwd|kennwort|passphrase|pwd|pw|login|logins|credentials?|secret|token|key|contraseña|clave|mot de passe|пароль|[a-z]+(?:Key|Secret|Token|Password)))(?![\w-])((?:\s+[\w/]+){0,6}?\s*(?:is|was|are|were|:|=|/|ist|war|lautet|est|es|será|remains|stays|set to)\s*[\"'`]?)([^\s\"'`,;]{6,})"
 )
+_STATED = re.compile(r"(?<![\w-])([^\W\d][\w-]{0,80})[\"'`]?\s+(?:is|was|are|were|ist|war|lautet|est|es|remains|stays)\s*:?\s*[\"'`]?([^\s\"'`,;]{6,})")
 _JOINED = re.compile(r"[\"'`]\s*(?:\+|\.|\\|&|\|\|)?\s*\n\s*(?:\+|\.|\|\|)?\s*[\"'`]([^\"'`\n]{4,})(?=[\"'`])")
 # What a line with a secret has somewhere, in lower case.
 _TRIGGERS = tuple("pass pwd kennwort secret token key auth bearer credential login contrase clave senha парол pw akia asia eyj _live_ _prod_ xox ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat aiza sg. npm_ hf_ dop_v1 shpat shpss".split()) + ("mot de", "@")
@@ -174,6 +175,9 @@ def find_secrets(text: str, path: str, words: dict[str, float]) -> list[Secret]:
                         g = next(i for i in groups if m[i] is not None)
                         take(m, g, kind, g == groups[-1] and len(groups) > 1)
             if comment or not code:
+                for m in _STATED.finditer(line):
+                    if (kind := name_kind(m[1])) and re.search(r"[A-Za-z]", m[2]) and re.search(r"\d", m[2]):
+                        take(m, 2, "secret" if kind == "key" else kind, True)
                 for m in _SAID.finditer(line):
                     direct = name_kind(m[1].split(" ")[-1])
                     strict = "said"
