@@ -159,7 +159,7 @@ def mix_sources(
     for k, w in enumerate(wanted):
         own = [r for r in sets if k in r.pattern]
         have = sum(int(r.tokens) for r in own)
-        rows.append((w[0], w[2], w[3], sum(int(r.docs) for r in own), quota[k], have, have * w[3], sum(f.get(k, 0.0) for f in flow), have * w[3] < quota[k]))
+        rows.append((w[0], w[2], w[3], sum(int(r.docs) for r in own), quota[k], have, have * w[3], sum((f.get(k, 0.0) for f in flow), 0.0), have * w[3] < quota[k]))
     for r, f in zip(sets, flow, strict=True):
         at, tokens = 0.0, float(r.tokens)
         for s, x in sorted(f.items()):

@@ -16,11 +16,8 @@ def brute(ids, x, k, least):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = u @ u.T
     np.fill_diagonal(s, -2)
-    out = set()
-    for i in range(len(ids)):
-        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-round(s[i, j], 6), ids[j]))[:k]
-        out |= {(ids[i], ids[j]) for j in order if s[i, j] >= least}
-    return out
+    top = np.argsort(-s.round(6), axis=1, kind="stable")[:, :k]
+    return {(ids[i], ids[j]) for i in range(len(ids)) for j in top[i] if s[i, j] >= least}
 
 
 def clustered(n, dims, seed=3):
@@ -38,7 +35,7 @@ def test_recall(spark, least, recall):
     want = brute(list(range(len(x))), x, 5, least if least is not None else -2)
     assert len(got & want) >= recall * len(want)
     if least:
-        assert got <= want | {p for p in got if p in brute(list(range(len(x))), x, 50, least)}
+        assert got <= brute(list(range(len(x))), x, 50, least)
 
 
 def test_edges(spark):
@@ -60,7 +57,7 @@ def test_equal_vectors(spark):
     assert [n for _, n in sorted(by[100])] == [0, 1, 2, 3, 4] and [n for _, n in sorted(by[0])] == [1, 2, 3, 4, 5]
     assert [n for _, n in sorted(by[500])] == [0, 1, 2, 3, 4]
     assert len(by) == 201
-    assert pairs_of(most_similar(frame(spark, rows), 5, 0.9), 0.9).count() == 195 * 5 + 15 + 5
+    assert pairs_of(most_similar(frame(spark, rows), 5, 0.9), 0.9).count() == 194 * 5 + 15 + 5
 
 
 def test_dense_cluster_is_found_without_all_pairs(spark):
