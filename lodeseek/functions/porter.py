@@ -57,17 +57,21 @@ _T2, _T3, _T4 = _table(_STEP2), _table(_STEP3), sorted(_STEP4.split(), key=len,
 
 @lru_cache(maxsize=200_000)
 def stem(w: str) -> str:
-    """Porter's stem of a lower-case word; words with other signs than a-z and very short ones stay."""
-    if len(w) < 3 or len(w) > 63 or not w.isascii() or not w.isalpha():
+    """Porter's stem of a lower-case word. As in the index, other signs count as consonants, byte by byte; words under 3 or over 64 bytes stay."""
+    if not w.isascii():
+        return _stem(w.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "ignore") if len(w.encode()) <= 64 else w
+    return _stem(w)
+
+
+def _stem(w: str) -> str:
+    if len(w) < 3 or len(w) > 64:
         return w
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
+    if w.endswith(("sses", "ies")) and len(w) > (4 if w.endswith("sses") else 3):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
     again = False
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -85,12 +89,12 @@ def stem(w: str) -> str:
         w = w[:-1] + "i"
     for table in (_T2, _T3):
         for suffix, new in table:
-            if w.endswith(suffix):
+            if len(w) > len(suffix) and w.endswith(suffix):
                 if _measure(w[: -len(suffix)]) > 0:
                     w = w[: -len(suffix)] + new
                 break
     for suffix in _T4:
-        if w.endswith(suffix):
+        if len(w) > len(suffix) and w.endswith(suffix):
             rest = w[: -len(suffix)]
             if _measure(rest) > 1 and (suffix != "ion" or rest[-1:] in ("s", "t")):
                 w = rest

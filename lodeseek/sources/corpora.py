@@ -32,7 +32,7 @@ def folder_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
     names = "|".join(s.replace(".", r"\.") for s in SKIPPED)
     barred = rf"(^|/)({names})(/|$)|(^|/)\.[^/]+/"
-    return raw.select(below.alias("file_path"), F.col("length").alias("size_bytes"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified_at")).where(~F.col("file_path").rlike(barred))
+    return raw.select(below.alias("file_path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified_at")).where(~F.col("file_path").rlike(barred))
 
 
 def modified_since(files: DataFrame, at: str | None) -> DataFrame:
