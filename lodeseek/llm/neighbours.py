@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lodeseek.session import staged
 
-LEAF, SAMPLE, TAIL, SLACK, MAX_DEPTH = 1024, 20_000, 0.0786, 0.012, 24
-_CODE = "rep bigint, leaf bigint, code binary, scale float"
+LEAF, SAMPLE, TAIL, SLACK, MAX_DEPTH = 1024, 20_000, 0.0786, 0.0008, 24
+_CODE = "rep bigint, leaf bigint, code binary"
 
 
 class Tree:
@@ -78,16 +78,13 @@ def reach_factor(tail: float) -> float:
     return NormalDist().inv_cdf(1 - tail) ** 2
 
 
-def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors as signed bytes, and the scale of each."""
-    scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
-    return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
+def encode(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in half precision, which moves a cosine by less than SLACK."""
+    return x.astype(np.float16)
 
 
-def _decode(code: pa.ChunkedArray | pa.Array, scale: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = len(code)
-    raw = b"".join(code.to_pylist())
-    return np.frombuffer(raw, np.int8).reshape(rows, -1).astype(np.float32) * np.asarray(scale, dtype=np.float32)[:, None]
+def _decode(code: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(code.to_pylist()), np.float16).reshape(len(code), -1).astype(np.float32)
 
 
 def _best(queries: np.ndarray, points: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, floor: np.ndarray, block: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -165,11 +162,10 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
         for b in batches:
             if b.num_rows:
                 x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(b.num_rows, -1)
-                code, scale = encode(x)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tree.value.leaf_of(tree.value.project(x))), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale)], names=["rep", "leaf", "code", "scale"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tree.value.leaf_of(tree.value.project(x))), pa.array([c.tobytes() for c in encode(x)], pa.binary())], names=["rep", "leaf", "code"])
 
     def home(group: pa.Table) -> pa.Table:
-        x, own = _decode(group["code"], group["scale"]), np.asarray(group["rep"])
+        x, own = _decode(group["code"]), np.asarray(group["rep"])
         kth, near = np.full(len(own), least), [[] for _ in own]
         for first, i, j, s, low in _best(x, x, own, own, k, np.full(len(own), least)):
             kth[first : first + len(low)] = low
@@ -183,15 +179,15 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
                 continue
             kth = np.asarray(b.column("kth"))
             reach = t * np.minimum(farthest, np.maximum(0.0, 2 - 2 * (kth - SLACK)))
-            q, to = tree.value.within(tree.value.project(_decode(b.column("code"), b.column("scale"))), reach)
+            q, to = tree.value.within(tree.value.project(_decode(b.column("code"))), reach)
             away = to != np.asarray(b.column("leaf"))[q]
             q = pa.array(q[away])
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(q), pa.array(to[away]), b.column("code").take(q), b.column("scale").take(q), b.column("kth").take(q)], names=["rep", "leaf", "code", "scale", "kth"])
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(q), pa.array(to[away]), b.column("code").take(q), b.column("kth").take(q)], names=["rep", "leaf", "code", "kth"])
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b, sim = [], [], []
         if left.num_rows and right.num_rows:
-            q, own, points, other = _decode(left["code"], left["scale"]), np.asarray(left["rep"]), _decode(right["code"], right["scale"]), np.asarray(right["rep"])
+            q, own, points, other = _decode(left["code"]), np.asarray(left["rep"]), _decode(right["code"]), np.asarray(right["rep"])
             for _, i, j, s, _ in _best(q, points, own, other, k, np.asarray(left["kth"])):
                 a.append(own[i])
                 b.append(other[j])
@@ -201,8 +197,8 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
 
     placed = reps.select("rep", "vec").mapInArrow(place, _CODE)
     homed = staged(placed.groupBy("leaf").applyInArrow(home, _CODE + ", kth double, near array<struct<b: bigint, sim: float>>"), "homed")
-    queries = homed.select("rep", "leaf", "code", "scale", "kth").mapInArrow(route, _CODE + ", kth double")
-    far = queries.groupBy("leaf").cogroup(homed.select("rep", "leaf", "code", "scale").groupBy("leaf")).applyInArrow(visit, "a bigint, b bigint, sim float")
+    queries = homed.select("rep", "leaf", "code", "kth").mapInArrow(route, _CODE + ", kth double")
+    far = queries.groupBy("leaf").cogroup(homed.select("rep", "leaf", "code").groupBy("leaf")).applyInArrow(visit, "a bigint, b bigint, sim float")
     edges = homed.select(F.col("rep").alias("a"), F.explode("near").alias("x")).select("a", "x.b", "x.sim").unionAll(far)
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     by = Window.partitionBy("a").orderBy(F.desc("sim"))
