@@ -79,5 +79,5 @@ def test_tree():
     q, to = t.within(p, np.full(len(p), 1e9, np.float32))
     assert len(q) == 4000 * 16
     q, to = t.within(p, np.zeros(len(p), np.float32))
-    assert (to[np.argsort(q, kind="stable")] == leaf).all()
+    assert set(zip(range(4000), leaf, strict=True)) <= set(zip(q, to, strict=True)) and len(q) < 4100
     assert reach_factor(0.0786) == pytest.approx(2, abs=0.01)
