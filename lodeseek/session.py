@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,7 @@ def build_session(app: str = "lodeseek", master: str | None = None, shuffle_part
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return importable(b.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,3 +66,12 @@ def drop_staged(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """`spark`, whose Python workers find this package where the driver found it (on executors: at the same path)."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
