@@ -33,11 +33,17 @@ def lines_of(content: Column) -> Column:
     return F.split(content, "\n")
 
 
-def _begins(line: Column, ext: Column) -> Column:
-    test = None
+def _line_number_if(pattern: str):  # noqa: ANN202
+    return lambda x, i: F.when(x.rlike(pattern), i + 1)
+
+
+def _boundary_lines(lines: Column, ext: Column) -> Column:
+    """Numbers of the lines that begin a chunk. Only the branch of the file's own extension is evaluated, once over its lines."""
+    out = None
     for e, pattern in BOUNDARIES.items():
-        test = F.when(ext == e, line.rlike(pattern)) if test is None else test.when(ext == e, line.rlike(pattern))
-    return F.coalesce(test, F.lit(False))
+        at = F.filter(F.transform(lines, _line_number_if(pattern)), lambda n: n.isNotNull())
+        out = F.when(ext == e, at) if out is None else out.when(ext == e, at)
+    return F.coalesce(out, F.array().cast("array<int>"))
 
 
 def syntax_spans(content: Column, path: Column, keep_preamble: bool = False) -> Column:
@@ -45,14 +51,13 @@ def syntax_spans(content: Column, path: Column, keep_preamble: bool = False) ->
 
     Lines before the first boundary belong to no span, unless `keep_preamble` adds them as one.
     """
-    lines, ext = lines_of(content), extension(path)
-    last = F.size(lines)
-    at = F.filter(F.sequence(F.lit(1), last), lambda n: _begins(F.element_at(lines, n), ext))
-    enough = F.size(at) >= 2
-    if keep_preamble:
-        at = F.when(F.element_at(at, 1) > 1, F.concat(F.array(F.lit(1)), at)).otherwise(at)
-    spans = F.transform(at, lambda n, k: F.struct(k.alias("chunk_index"), n.alias("start_line"), F.coalesce(F.get(at, k + 1) - 1, last).alias("end_line")))
-    return F.when(enough, spans).otherwise(F.array().cast(_SPANS))
+    lines = lines_of(content)
+    at = _boundary_lines(lines, extension(path))
+    starts = F.when(F.get(at, F.lit(0)) > 1, F.concat(F.array(F.lit(1)), at)).otherwise(at) if keep_preamble else at
+    following = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines) + 1))
+    pairs = F.zip_with(starts, following, lambda a, z: F.struct(a.alias("a"), z.alias("z")))
+    spans = F.transform(pairs, lambda x, k: F.struct(k.alias("chunk_index"), x["a"].alias("start_line"), (x["z"] - 1).alias("end_line")))
+    return F.when(F.size(at) >= 2, spans).otherwise(F.array().cast(_SPANS))
 
 
 def spans_by_size(lengths: list[int], max_chars: int, overlap_chars: int) -> list[tuple[int, int, int]]:
