@@ -2,15 +2,16 @@
 
 Unit vectors are projected by 2-stable (Gaussian) projections, one for each level of a kd-tree whose
 splits are medians of a bounded sample. A query first searches its own leaf, which bounds how far its
-k-th neighbour can be. It then visits further leaves in order of their distance in projected space
-until a chi-square test says that a neighbour within that bound lies in the next leaf with too small
-a chance. All points of a visited leaf are compared; what is found is verified on the full vectors.
-
-The test: along the direction from a query to the nearest corner of a leaf's box, the projected
-displacement of a point at distance r is N(0, r*r). With D the box's projected distance, the squared
-ratio (D/r)^2 is compared with the chi-square distribution of one degree; the point is beyond that
-distance, on that side, with a chance of at most (1 - cdf((D/r)^2)) / 2. The search stops where that
-falls under `tail`.
+k-th neighbour can be. It then visits further leaves, but those that hold a neighbour within that
+bound with so small a chance that the chances of all skipped leaves together stay under `tail`,
+however deep the tree. All points of a visited leaf are compared; what is found is verified on the
+full vectors.
+
+The chance: where a query is projected to p, a unit vector at cosine c to it is projected to
+N(c*p, 1 - c*c), for each axis by itself. A node holds it with the product of the chances to lie on the
+node's side of each cut. A node l cuts deep is skipped under tail / 2^l, and as skipped nodes don't
+overlap, they add up to at most `tail`. Nearer neighbours lie otherwise, so a node must fall short
+at the bound and at a half, a quarter and an eighth of its distance.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from lodeseek.session import staged
 
 LEAF, SAMPLE, TAIL, SLACK, MAX_DEPTH = 1024, 20_000, 0.0786, 0.0008, 24
+_ROUTES = 1 << 18  # leaves, over all queries, whose chances are held at a time
+_NEARER = (1.0, 1 / 4, 1 / 16, 1 / 64)  # squared distances, as shares of the bound's
+_AT = np.linspace(-8, 8, 16_001)
+_CDF = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _AT])
 _CODE = "rep bigint, leaf bigint, code binary"
 
 
@@ -72,6 +77,22 @@ class Tree:
             q, node, far = np.concatenate([q, q[cross]]), np.concatenate([node * 2 + right, (node * 2 + 1 - right)[cross]]), np.concatenate([far, over[cross]])
         return q, node
 
+    def likely(self, p: np.ndarray, cosine: np.ndarray, tail: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf), without leaves that hold a neighbour of at least `cosine` with a chance of `tail` in all; every leaf for queries whose cosine isn't above 0."""
+        c = 1 - (1 - np.clip(cosine, 0, 1))[:, None] * np.array(_NEARER)
+        width = np.sqrt(np.maximum(1e-9, 1 - c * c))
+        least = np.where(cosine > 0, tail, 0.0)
+        q, node, chance = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones((len(p), len(_NEARER)))
+        for level, cut in enumerate(self.cuts):
+            right = np.interp((c[q] * p[q, level][:, None] - cut[node][:, None]) / width[q], _AT, _CDF)
+            sides = []
+            for side, share in ((1, right), (0, 1 - right)):
+                own = chance * share
+                keep = own.max(axis=1) >= least[q] / (2 << level)
+                sides.append((q[keep], node[keep] * 2 + side, own[keep]))
+            q, node, chance = (np.concatenate(x) for x in zip(*sides, strict=True))
+        return q, node
+
 
 def reach_factor(tail: float) -> float:
     """The chi-square quantile (one degree of freedom) at 1 - 2 * tail."""
@@ -139,7 +160,8 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
 
     Equal vectors are collapsed first: k+1 of them stand for all, as no more can be among anybody's k
     best, so a third of all rows with one vector costs no more than a few. The tree is fitted on about
-    `sample` vectors; every vector is indexed.
+    `sample` vectors; every vector is indexed. A neighbour is missed with a chance of about `tail` at
+    most, whatever the number of rows.
     """
     spark = records.sparkSession
     base = unit_vectors(records, id, vector).withColumn("key", F.md5("vec"))
@@ -155,7 +177,6 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
     if not len(fitted):
         fitted = np.frombuffer(reps.select("vec").first()[0], np.float32)[None, :]
     tree = spark.sparkContext.broadcast(Tree(fitted, n, leaf, seed))
-    t, farthest = reach_factor(tail), 4.0 if min_cosine is None else max(0.0, 2 - 2 * min_cosine)
     least = -1.0 if min_cosine is None else min_cosine
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +198,13 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            kth = np.asarray(b.column("kth"))
-            reach = t * np.minimum(farthest, np.maximum(0.0, 2 - 2 * (kth - SLACK)))
-            q, to = tree.value.within(tree.value.project(_decode(b.column("code"))), reach)
-            away = to != np.asarray(b.column("leaf"))[q]
-            q = pa.array(q[away])
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(q), pa.array(to[away]), b.column("code").take(q), b.column("kth").take(q)], names=["rep", "leaf", "code", "kth"])
+            size = max(1, _ROUTES >> len(tree.value.cuts))
+            for a in range(0, b.num_rows, size):
+                part = b.slice(a, size)
+                q, to = tree.value.likely(tree.value.project(_decode(part.column("code"))), np.asarray(part.column("kth")) - SLACK, tail)
+                away = to != np.asarray(part.column("leaf"))[q]
+                q = pa.array(q[away])
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(q), pa.array(to[away]), part.column("code").take(q), part.column("kth").take(q)], names=["rep", "leaf", "code", "kth"])
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b, sim = [], [], []

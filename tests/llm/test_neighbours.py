@@ -38,6 +38,28 @@ def test_recall(spark, least, recall):
         assert got <= brute(list(range(len(x))), x, 50, least)
 
 
+def test_recall_holds_in_deep_trees(spark):
+    x = np.random.default_rng(4).standard_normal((3000, 64))
+    got = {(r.id, r.neighbour) for r in most_similar(frame(spark, list(enumerate(x))), 5, leaf=12).collect()}
+    want = brute(list(range(len(x))), x, 5, -2)
+    assert len(got & want) >= 0.98 * len(want)
+
+
+def test_skipped_leaves_add_up_to_the_tail():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6000, 24))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    t, u = Tree(x, 6000, 24), rng.standard_normal((6000, 24))
+    u -= (u * x).sum(axis=1)[:, None] * x
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    for cosine in (0.3, 0.7, 0.95):
+        q, to = t.likely(t.project(x), np.full(6000, cosine), 0.05)
+        for c in (cosine, (1 + cosine) / 2, 0.999):
+            at = t.leaf_of(t.project((c * x + (1 - c * c) ** 0.5 * u).astype(np.float32)))
+            assert np.isin(np.arange(6000) * 256 + at, q * 256 + to).mean() >= 0.95
+    assert len(t.cuts) == 8 and len(t.likely(t.project(x), np.zeros(6000), 0.05)[0]) == 6000 * 256
+
+
 def test_edges(spark):
     z = [0.0, 0.0, 0.0]
     rows = [(1, [1, 0, 0]), (1, [1, 0, 0]), (2, [2, 0, 0]), (3, [0.9, 0.1, 0]), (4, z), (5, None), (6, [1, None, 0]), (7, [float("inf"), 0, 0]), (None, [1, 0, 0]), (8, []), (9, [0, 0, 5]), (10, [3])]
