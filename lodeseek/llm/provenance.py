@@ -41,6 +41,9 @@ SCRIPT = "js mjs cjs jsx ts tsx css html vue svelte php".split()
 PROSE = "md rst txt adoc org".split()
 # Such a line is code only if this share of it is punctuation; text in a script without blanks is not dense.
 SIGN_SHARE = 0.12
+# Minified code that was wrapped has no such line: in a text whose mean line is at least this long, which is no blanker than its
+# family's lines and not letters and digits alone, lines from this length on are dense too.
+WRAPPED_LINE, WRAPPED_ALNUM = 80, 0.85
 # A chunk or file counts where dense lines or data reach both figures, or data all but fill it.
 DENSE_SHARE, DENSE_CHARS = 0.5, 500
 DATA_SHARE, DATA_CHARS = 0.5, 1000
@@ -99,8 +102,13 @@ def layout(texts: pa.Array) -> dict[str, np.ndarray]:
     encoded = (length - punct - blank <= b64) & (b64 >= 40) & (blank <= 8) & (upper > 4) & (lower > 4) & (digit > 1)
     data = (numeric | encoded) & ~pem & ~inside
     code = (signs >= SIGN_SHARE * length) & (foreign <= 0.1 * length)
-    dense = {k: (length >= least) & (blank < share * length) & code for k, (least, share) in DENSE.items()}
     total = np.diff(ends)
+    of = lambda v: np.bincount(row, v, minlength=n)
+    even = (total >= WRAPPED_LINE * np.bincount(row, minlength=n)) & (of(alnum) <= WRAPPED_ALNUM * total)
+    dense = {}
+    for k, (least, share) in DENSE.items():
+        wrapped = (even & (of(blank) < share * total))[row] & (length >= WRAPPED_LINE) & ~data
+        dense[k] = ((length >= least) | wrapped) & (blank < share * length) & code
     out["chars"], out["lines"] = total, np.bincount(row, minlength=n)
     np.maximum.at(out["max_line"], row, length)
     for k, v in (("blanks", blank), ("alnum", alnum), ("digits", digit), ("data", length * data), ("dense", length * dense["other"]), ("dense_script", length * dense["script"])):

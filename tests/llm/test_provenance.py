@@ -40,3 +40,13 @@ def test_files(spark):
     got = {r.file_path: r.reason for r in not_hand_written(df.union(df)).collect()}
     assert got == {"src/b.js": "minified", "src/c.py": "data", "src/d.go": "data", "src/f.ts": "generated", "vendor/x/a.go": "vendored", "web/x.min.js": "minified", "a/package-lock.json": "lock", "a/deps.lock.json": "lock", "src/x_pb2.py": "generated", "src/l.js": "minified", "web/node_modules/x/i.js": "vendored", "node_modules\\x\\i.js": "vendored", "dist/x.c8187e34.js": "minified"}
     assert not_hand_written(df.limit(0)).count() == 0
+
+
+def test_wrapped_minified_code(spark):
+    def wrap(text, width):
+        return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+    rows = [(f"src/w{n}.js", wrap(MIN * 3, n)) for n in (100, 120, 250)] + [("src/w.go", wrap(MIN.replace(" ", "") * 3, 240))]
+    rows += [("src/a.ts", CODE), ("src/long.ts", "\n".join(f"    const value{k} = await loadEverything(input{k}, {{ range: {k}, depth: [1, 2, 3], name: 'value' }}) ?? other" for k in range(60))), ("src/b.go", B64), ("src/w.md", wrap(MIN * 3, 120))]
+    got = {r.file_path: r.reason for r in not_hand_written(spark.createDataFrame(rows, "file_path string, chunk_text string")).collect()}
+    assert got == {"src/w100.js": "minified", "src/w120.js": "minified", "src/w250.js": "minified", "src/w.go": "minified", "src/b.go": "data"}
