@@ -61,7 +61,9 @@ _SAID = re.compile(
     r"(?i)(?<![\w-])((?:[\w-]+[_ -])?(?:passwords?|passwort|passwd|kennwort|passphrase|pwd|pw|login|logins|credentials?|secret|token|key|contraseña|clave|mot de passe|пароль|[a-z]+(?:Key|Secret|Token|Password)))(?![\w-])((?:\s+[\w/]+){0,6}?\s*(?:is|was|are|were|:|=|/|ist|war|lautet|est|es|será|remains|stays|set to)\s*[\"'`]?)([^\s\"'`,;]{6,})"
 )
 _STATED = re.compile(r"(?<![\w-])([^\W\d][\w-]{0,80})[\"'`]?\s+(?:is|was|are|were|ist|war|lautet|est|es|remains|stays)\s*:?\s*[\"'`]?([^\s\"'`,;]{6,})")
-_JOINED = re.compile(r"[\"'`]\s*(?:\+|\.|\\|&|\|\|)?\s*\n\s*(?:\+|\.|\|\|)?\s*[\"'`]([^\"'`\n]{4,})(?=[\"'`])")
+_JOINED = re.compile(r"[\"'`](?:\s*(?:\+|\.|\\|&|\|\|)?\s*\n\s*(?:\+|\.|\|\|)?\s*|[ \t]*(?:\+|\.|&|\|\|)[ \t]*|[ \t]+)[\"'`]([^\"'`\n]+)(?=[\"'`])")
+# A line of a private key's body or header, as it may stand in code.
+_PEM_LINE = re.compile(r"[\s\"'`+,|>#/*;.&\\-]*(?:[A-Za-z0-9-]+: .*|[A-Za-z0-9+/=]*)[\s\"'`+,;.&\\)]*")
 # What a line with a secret has somewhere, in lower case.
 _TRIGGERS = tuple("pass pwd kennwort secret token key auth bearer credential login contrase clave senha парол pw akia asia eyj _live_ _prod_ xox ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat aiza sg. npm_ hf_ dop_v1 shpat shpss".split()) + ("mot de", "@")
 _INNER = re.compile(r"[;\"'`\s=]([A-Za-z][\w ]{0,40})=([^;\"'`\s]{4,})(?=;[A-Za-z][\w ]*=|;?[\"'`]|;?$)")
@@ -196,13 +198,24 @@ def find_secrets(text: str, path: str, words: dict[str, float]) -> list[Secret]:
     return found
 
 
+def _headless(text: str) -> int:
+    """Where the body of a private key ends with which the text begins, its opening marker lost; 0 without one."""
+    m = _PEM_END.search(text)
+    if not m or _PEM.search(text, 0, m.start()):
+        return 0
+    lines = re.split(r"\n|\\[nr]", text[: m.start()])
+    return m.start() if all(_PEM_LINE.fullmatch(x) for x in lines) else 0
+
+
 def blot(text: str, secrets: list[Secret]) -> str:
     """The text with each secret's characters replaced by `*`: length, lines and the code around stay as they are.
 
-    A private key is blotted from its marker to its end marker, and a literal in several pieces in all
-    its pieces.
+    A private key is blotted from its marker to its end marker, or from the text's start if it begins
+    inside the key, and a literal in several pieces in all its pieces.
     """
     out = list(text)
+    if head := _headless(text):
+        secrets = [Secret(1, 0, 0, "private key"), *(s for s in secrets if s.begin >= head)]
     for s in secrets:
         spans = [(s.begin, s.end)]
         if s.kind == "private key":

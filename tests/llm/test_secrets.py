@@ -73,3 +73,18 @@ def test_table(spark):
     assert secrets_in(df.limit(0)).count() == 0
     clean = {r.id: r.redacted for r in redact(df).collect() if r.id in (1, 3, 4)}
     assert clean == {1: t.replace(KEY, "*" * len(KEY)), 3: None, 4: ""}
+
+
+@pytest.mark.parametrize("joint", ['" + "', '" . "', '" "', '"+"'])
+def test_pieces_on_one_line_are_blotted(joint):
+    text = f'const token = "{KEY[:15]}{joint}{KEY[15:18]}{joint}{KEY[18:]}", "other"'
+    assert blot(text, find_secrets(text, "a.ts", WORDS)) == text.replace(KEY[:15], "*" * 15).replace(KEY[15:18], "***").replace(KEY[18:], "*" * len(KEY[18:]))
+
+
+@pytest.mark.parametrize("feed", ["\n", "\r\n", "\\n"])
+def test_a_key_that_began_before_the_text_is_blotted(feed):
+    end = "-----END RSA PRIVATE KEY-----\nnext = 1"
+    text = feed.join(["MIIEowIBAAKCAQEA1234567890abcdef", "ZZZZ5678==", end])
+    assert blot(text, find_secrets(text, "a.pem", WORDS)) == feed.join(["*" * 32, "*" * 10, end])
+    for kept in ("A key closes with this line\n" + end, "MIIEowIBAAKCAQEA1234567890abcdef\n-----END CERTIFICATE-----", end):
+        assert blot(kept, find_secrets(kept, "a.pem", WORDS)) == kept
