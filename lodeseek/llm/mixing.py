@@ -138,12 +138,14 @@ def mix_sources(
     the total. Repeated rows count once; null ids are left out, null texts have no tokens; targets with
     null share or repeats get none. Empty tables give an empty selection and zero figures.
 
-    The driver holds one row for each set of sources that occurs, at most `max_patterns` of them (an
-    error beyond), and the targets.
+    The driver holds one row for each set of sources that occurs and one for each target, at most
+    `max_patterns` of either (an error beyond).
     """
     spark = docs.sparkSession
     counts = staged(token_counts(docs, doc_id, text, source, vocabulary), "tokens")
-    wanted = [(r[0], r[1], float(r[2] or 0), int(r[3] or 0)) for r in targets.select(F.col(f"`{target_source}`"), clean_source(F.col(f"`{target_source}`")), F.col(f"`{target_share}`"), F.col(f"`{max_repeats}`")).where(F.col(f"`{target_source}`").isNotNull()).distinct().orderBy(F.col(f"`{target_source}`")).limit(max_patterns).collect()]
+    wanted = [(r[0], r[1], float(r[2] or 0), int(r[3] or 0)) for r in targets.select(F.col(f"`{target_source}`"), clean_source(F.col(f"`{target_source}`")), F.col(f"`{target_share}`"), F.col(f"`{max_repeats}`")).where(F.col(f"`{target_source}`").isNotNull()).distinct().orderBy(F.col(f"`{target_source}`")).limit(max_patterns + 1).collect()]
+    if len(wanted) > max_patterns:
+        raise ValueError(f"there are more than {max_patterns} targets")
     place = {w[1]: k for k, w in enumerate(wanted)}
     known = F.create_map(*(x for k, w in enumerate(wanted) for x in (F.lit(w[1]), F.lit(k)))) if wanted else F.create_map().cast("map<string,int>")
     member = F.try_element_at(known, F.coalesce("source", F.lit("")))

@@ -75,3 +75,10 @@ def test_empty(spark):
     assert chosen == [] and report["a"].actual_tokens == 0 and report["a"].target_tokens == 0
     report, chosen = run(spark, [(1, "a b", "a")], [])
     assert report == {} and chosen == []
+
+
+def test_too_many_targets_are_an_error(spark):
+    targets = [("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)]
+    with pytest.raises(ValueError, match="2 targets"):
+        run(spark, [(1, "x y", "a")], targets, max_patterns=2)
+    assert len(run(spark, [(1, "x y", "a")], targets, max_patterns=3)[0]) == 3
