@@ -46,6 +46,6 @@ def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
 
     try:
         lines = spark.read.text(path).select(F.trim("value").alias("v"))
-        return [r.v for r in lines.where("v <> '' and not startswith(v, '#')").limit(10_000).collect()]
+        return [r.v for r in lines.where("v <> '' and not startswith(v, '#')").collect()]
     except AnalysisException:
         return []
