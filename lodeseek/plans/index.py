@@ -219,7 +219,7 @@ def event_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_latest_edit(spark: SparkSession, d: str) -> DataFrame:
-    """The last edit of each file, by way of a stream of the event table."""
+    """The last edit of each file, by what a stream does with each micro-batch, here over the whole event table as one batch; no stream is opened."""
     from lodeseek.streaming.edits import latest_edits
 
     e = table(spark, d, "events").where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), "user_id").alias("file_path"), F.col("event_id").alias("content_version"))
