@@ -41,7 +41,7 @@ PROVIDERS = {
     "voyage": ("https://api.voyageai.com/v1", "voyage-code-3", "VOYAGE_API_KEY", 1024, 50, ""),
     "litellm": ("http://localhost:4000/v1", "voyage-code-3", "LITELLM_API_KEY", 1024, 50, ""),
 }
-_PROVIDER_KEYS = ("api_base", "model", "api_key_env", "dimensions", "batch_size", "query_prefix")
+PROVIDER_KEYS = ("api_base", "model", "api_key_env", "dimensions", "batch_size", "query_prefix")
 
 
 class ConfigError(ValueError):
@@ -205,11 +205,11 @@ class ProjectConfig:
     def provider(self, name: str | None = None) -> dict[str, Any]:
         """Without a name the presets; with one, its settings are taken over."""
         if name is None:
-            return {k: dict(zip(_PROVIDER_KEYS, v, strict=True)) for k, v in PROVIDERS.items()}
+            return {k: dict(zip(PROVIDER_KEYS, v, strict=True)) for k, v in PROVIDERS.items()}
         if name not in PROVIDERS:
             raise ConfigError(f"no such provider: {name}")
         before = get(self.effective, "embedding.dimensions")
-        write_json(self.path, merge(self.user, {"embedding": dict(zip(_PROVIDER_KEYS, PROVIDERS[name], strict=True))}))
+        write_json(self.path, merge(self.user, {"embedding": dict(zip(PROVIDER_KEYS, PROVIDERS[name], strict=True))}))
         return {"provider": name, "dimensions_changed": get(self.effective, "embedding.dimensions") != before}
 
     def reset(self, section: str | None = None) -> None:
@@ -218,6 +218,20 @@ class ProjectConfig:
         write_json(self.path, drop(self.user, section) if section else {})
 
 
+# Provider -> what it is.
+PROVIDER_NOTES = {"ollama": "Ollama (local)", "openai": "OpenAI", "voyage": "Voyage AI", "litellm": "LiteLLM proxy (Vertex AI, Bedrock, etc.)"}
+
+
+def summary(tree: dict[str, Any], storage: str) -> dict[str, Any]:
+    """The settings that status reports show, with the preset they agree with."""
+    e = tree["embedding"]
+    name = next((k for k, v in PROVIDERS.items() if (v[0], v[1], v[3]) == (e["api_base"], e["model"], e["dimensions"])), "custom")
+    return {
+        "model": e["model"], "endpoint": e["api_base"], "dimensions": e["dimensions"], "provider": name, "provider_description": PROVIDER_NOTES.get(name, "Custom"),
+        "chunking_strategy": get(tree, "chunking.strategy"), "max_tokens_per_chunk": get(tree, "chunking.max_tokens"), "storage_path": storage,
+    }
+
+
 def providers_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, v[0], v[1], v[3]) for k, v in PROVIDERS.items()], "provider string, api_base string, model string, dimensions int")
 

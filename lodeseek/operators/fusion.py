@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions.paths import file_type_multiplier
 from lodeseek.functions.scoring import min_max_best_low, rrf
 from lodeseek.functions.text import identifier_boost
-from lodeseek.operators.lexical import best, bm25
+from lodeseek.operators.lexical import LexicalIndex, best, bm25
 from lodeseek.operators.vector import vector_top_k
 
 
@@ -35,14 +35,22 @@ def _with_text(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) ->
     return candidates.join(chunks.select("id", "file_path", "chunk_text", "start_line", "end_line"), "id").join(queries.select("query_id", "query_text"), "query_id")
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = 0.35, weights: Weights = Weights(), path_prefix: Column | None = None) -> DataFrame:
+# Fixed value: what results say that were found by words because no query vector could be had.
+WORDS_ONLY = "FTS-only result (embedding server unavailable)"
+
+
+def _within(chunks: DataFrame, path_prefix: Column | None) -> DataFrame | None:
+    return None if path_prefix is None else chunks.where(path_prefix).select("id")
+
+
+def hybrid_search(chunks: DataFrame, index: LexicalIndex, queries: DataFrame, top_k: int = 10, threshold: float = 0.35, weights: Weights = Weights(), path_prefix: Column | None = None) -> DataFrame:
     """The best chunks of each query: query_id, id, file_path, start_line, end_line, similarity, score, place, chunk_text.
 
     `queries` has query_id, query_text and query_vector. A chunk stays if its similarity reaches the
     threshold, or if it has none but a score. Candidates are the 2 * top_k best of either list.
     """
     vec = vector_top_k(chunks, queries, 2 * top_k, path_prefix=path_prefix)
-    fts = best(bm25(chunks, queries, path_prefix=path_prefix).withColumn("bm25", F.round("bm25", 12)), "bm25", 2 * top_k, ascending=True)
+    fts = best(bm25(index, queries, within=_within(chunks, path_prefix)).withColumn("bm25", F.round("bm25", 12)), "bm25", 2 * top_k, ascending=True)
     c = _with_text(fuse(vec, fts), chunks, queries)
     base = F.lit(weights.vector) * F.col("similarity") + F.lit(weights.bm25) * F.col("bm25_scaled") + F.lit(weights.rrf) * F.col("rrf")
     score = F.round(base * file_type_multiplier(F.col("file_path")) * identifier_boost(F.col("query_text"), F.col("chunk_text")), 12)
@@ -51,17 +59,21 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, thresh
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k).select("query_id", "id", "file_path", "start_line", "end_line", "similarity", "score", "place", "chunk_text")
 
 
-def word_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, path_prefix: Column | None = None) -> DataFrame:
-    """Search by words only, as where no query vector can be had; same columns, similarity 0, and a note."""
-    fts = best(bm25(chunks, queries, path_prefix=path_prefix).withColumn("bm25", F.round("bm25", 12)), "bm25", top_k, ascending=True)
+def word_search(chunks: DataFrame, index: LexicalIndex, queries: DataFrame, top_k: int = 10, path_prefix: Column | None = None) -> DataFrame:
+    """Search by words only, as where no query vector can be had; same columns, similarity 0, and a note.
+
+    The 2 * top_k best matches are scaled and weighed, and the top_k best of them stay.
+    """
+    fts = best(bm25(index, queries, within=_within(chunks, path_prefix)).withColumn("bm25", F.round("bm25", 12)), "bm25", 2 * top_k, ascending=True)
     scaled = fts.withColumn("bm25_scaled", min_max_best_low(F.col("bm25"), Window.partitionBy("query_id")))
     c = _with_text(scaled, chunks, queries)
     score = F.round(F.col("bm25_scaled") * file_type_multiplier(F.col("file_path")) * identifier_boost(F.col("query_text"), F.col("chunk_text")), 12)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
-    return c.withColumn("score", score).withColumn("place", F.row_number().over(order)).select("query_id", "id", "file_path", "start_line", "end_line", F.lit(0.0).alias("similarity"), "score", "place", "chunk_text", F.lit("word-only match, no vector").alias("note"))
+    placed = c.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
+    return placed.select("query_id", "id", "file_path", "start_line", "end_line", F.lit(0.0).alias("similarity"), "score", "place", "chunk_text", F.lit(WORDS_ONLY).alias("note"))
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = 0.35, path_prefix: Column | None = None) -> DataFrame:
     """Search by vectors only: the top_k best, of them those that reach the threshold."""
     vec = vector_top_k(chunks, queries, top_k, path_prefix=path_prefix).where(F.col("similarity") >= threshold)
-    return vec.join(chunks.select("id", "file_path", "start_line", "end_line"), "id").select("query_id", "id", "file_path", "start_line", "end_line", "similarity", F.col("rank").alias("place"))
+    return vec.join(chunks.select("id", "file_path", "start_line", "end_line", "chunk_text"), "id").select("query_id", "id", "file_path", "start_line", "end_line", "similarity", F.col("rank").alias("place"), "chunk_text")

@@ -29,20 +29,35 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return both.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r", "__new")
 
 
-def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Chunks by (file_path, chunk_index): a rewritten chunk keeps its id, new ones take ids after the largest there is."""
-    keyed = new.drop("id").join(old.select("file_path", "chunk_index", F.col("id").alias("id")), ["file_path", "chunk_index"], "left")
-    top = F.broadcast(old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top")))
-    fresh = keyed.where("id is null").drop("id")
-    # A file's new chunks are numbered within the file, files by prefix sums over their counts: no global sort of rows.
-    per_file = fresh.groupBy("file_path").agg(F.count("*").alias("__n"))
-    block = F.pmod(F.xxhash64("file_path"), F.lit(1024))
-    sums = per_file.groupBy(block.alias("__b")).agg(F.sum("__n").alias("__m"))
-    base = sums.withColumn("__base", F.sum("__m").over(Window.orderBy("__b")) - F.col("__m")).select("__b", "__base")
-    starts = per_file.withColumn("__b", block).withColumn("__before", F.sum("__n").over(Window.partitionBy("__b").orderBy("file_path")) - F.col("__n")).join(F.broadcast(base), "__b").select("file_path", (F.col("__base") + F.col("__before")).alias("__start"))
-    numbered = fresh.join(starts, "file_path").crossJoin(top).withColumn("id", F.col("__top") + F.col("__start") + F.row_number().over(Window.partitionBy("file_path").orderBy("chunk_index")))
+_BLOCK = 4096
+
+
+def new_ids(keys: DataFrame, top: int | Column) -> DataFrame:
+    """file_path, chunk_index and id for new chunks (file_path, chunk_index): the numbers after `top`, without gaps.
+
+    Only these two columns move. A file's indexes are cut into blocks, which are numbered by
+    themselves; where a block begins are prefix sums over block counts, and where a file does over
+    file counts, so neither a large file nor the whole table is sorted in one task.
+    """
+    own = keys.select("file_path", "chunk_index", F.floor(F.col("chunk_index") / _BLOCK).alias("__k"), F.pmod(F.xxhash64("file_path"), F.lit(1024)).alias("__b"))
+    blocks = own.groupBy("__b", "file_path", "__k").agg(F.count("*").alias("__n"))
+    base = blocks.groupBy("__b").agg(F.sum("__n").alias("__m"))
+    base = base.select("__b", (F.sum("__m").over(Window.orderBy("__b")) - F.col("__m")).alias("__base"))
+    starts = blocks.withColumn("__before", F.sum("__n").over(Window.partitionBy("__b").orderBy("file_path", "__k")) - F.col("__n")).join(F.broadcast(base), "__b")
+    starts = starts.select("file_path", "__k", (F.col("__base") + F.col("__before")).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("file_path", "__k").orderBy("chunk_index"))
+    return own.withColumn("__i", inside).join(starts, ["file_path", "__k"]).select("file_path", "chunk_index", ((F.lit(top) if isinstance(top, int) else top) + F.col("__start") + F.col("__i")).cast("bigint").alias("id"))
+
+
+def upsert_chunks(old: DataFrame, new: DataFrame, top: int | None = None) -> DataFrame:
+    """Chunks by (file_path, chunk_index): a rewritten chunk keeps its id, new ones take ids after the largest there is (or after `top`, where `old` is only a part of the table)."""
+    if top is None:
+        top = int(old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    known = old.select("file_path", "chunk_index", "id")
+    fresh = new_ids(new.select("file_path", "chunk_index").join(known.drop("id"), ["file_path", "chunk_index"], "left_anti"), top)
+    ids = known.join(new.select("file_path", "chunk_index"), ["file_path", "chunk_index"], "left_semi").unionByName(fresh)
     kept = old.join(new.select("file_path", "chunk_index"), ["file_path", "chunk_index"], "left_anti")
-    return kept.select(*old.columns).unionByName(keyed.where("id is not null").select(*old.columns)).unionByName(numbered.select(*old.columns))
+    return kept.select(*old.columns).unionByName(new.drop("id").join(ids, ["file_path", "chunk_index"]).select(*old.columns))
 
 
 def delete_files(chunks: DataFrame, paths: DataFrame) -> DataFrame:
@@ -55,10 +70,10 @@ def orphan_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(last, "file_path").where(F.col("chunk_index") > F.col("__last")).select(*old.columns)
 
 
-def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The table after the files of `new` were indexed again: upserted, and their orphans gone."""
+def replace_files(old: DataFrame, new: DataFrame, top: int | None = None) -> DataFrame:
+    """The table after the files of `new` were indexed again: upserted, and their orphans gone. `new` is read several times; stage it."""
     last = new.groupBy("file_path").agg(F.max("chunk_index").alias("__last"))
-    both = upsert_chunks(old, new)
+    both = upsert_chunks(old, new, top)
     return both.join(last, "file_path", "left").where(F.col("__last").isNull() | (F.col("chunk_index") <= F.col("__last"))).select(*old.columns)
 
 
@@ -96,6 +111,9 @@ def listing_union(*listings: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def first_files(files: DataFrame, max_files: int, order: Column | None = None) -> DataFrame:
-    """The listing cut to its first `max_files` paths, before any other rule looks at them."""
-    return files.orderBy(order if order is not None else F.col("file_path")).limit(max_files)
+def first_files(files: DataFrame, max_files: int | None, order: Column | None = None) -> DataFrame:
+    """The listing cut to its first `max_files` paths, before any other rule looks at them; all of it without a number. Only paths are sorted."""
+    if max_files is None:
+        return files
+    first = files.select("file_path").orderBy(order if order is not None else F.col("file_path")).limit(max_files)
+    return files.join(first, "file_path", "left_semi")

@@ -68,18 +68,40 @@ def health(chunks: DataFrame, state: DataFrame, dimensions: int) -> DataFrame:
 
 
 def status_sentence(chunks: DataFrame, state: DataFrame, dimensions: int) -> DataFrame:
-    """One line about the index."""
+    """One line about the index: none yet, unusable (failed sync or other dimensions), or in use with its size."""
     h = health(chunks, state, dimensions).crossJoin(index_stats(chunks).select("chunks"))
-    text = F.when(F.col("files") == 0, "No index yet.").when(F.col("status") == "error", F.format_string("Index has %d files, %d chunks; the last sync failed.", "files", "chunks")).otherwise(F.format_string("Index has %d files, %d chunks; status %s.", "files", "chunks", "status"))
+    text = (
+        F.when(F.col("files") == 0, "No index yet; the next session makes one.")
+        .when(~F.col("healthy"), "The index can't be used; search by text and rebuild it if need be.")
+        .otherwise(F.format_string("Hybrid search is on (%d files, %d chunks); ask it before searching by text.", "files", "chunks"))
+    )
     return h.select(text.alias("sentence"))
 
 
-def overview(chunks: DataFrame, state: DataFrame, files: DataFrame, eligible: Column, config: DataFrame | None = None) -> DataFrame:
-    """The whole report as one nested row: index, sync, config. The file list is `file_stats`, a table of its own."""
-    s, c, p = index_stats(chunks), coverage(chunks, files, eligible).select("eligible", "coverage_percent"), sync_progress(state)
-    out = s.crossJoin(c).crossJoin(p)
-    cfg = F.lit(None).cast("map<string,string>")
-    if config is not None:
-        out = out.crossJoin(config.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("__config")))
-        cfg = F.col("__config")
-    return out.select(F.struct("files", "chunks", "avg_chunks_per_file", "eligible", "coverage_percent").alias("index"), F.col("progress").alias("sync"), cfg.alias("config"))
+def sync_record(state: DataFrame) -> DataFrame:
+    """status, total, completed, current_file, error and last_sync of the sync in one row; texts that are no numbers count as 0."""
+    pick = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    number = lambda k: F.coalesce(F.expr(f"try_cast(regexp_extract({k}, '^ *([-+]?[0-9]+)', 1) as int)"), F.lit(0)).alias
+    row = state.agg(*(pick(k).alias(k) for k in ("sync_status", "sync_total_files", "sync_completed_files", "sync_current_file", "sync_error", "last_sync_time")))
+    return row.select(
+        F.coalesce("sync_status", F.lit("idle")).alias("status"), number("sync_total_files")("total"), number("sync_completed_files")("completed"), F.col("sync_current_file").alias("current_file"), F.col("sync_error").alias("error"), F.col("last_sync_time").alias("last_sync")
+    )
+
+
+def index_status(chunks: DataFrame, state: DataFrame, model: str, endpoint: str, path: str) -> DataFrame:
+    """files_indexed, total_chunks, last_sync, path, embedding_model and embedding_endpoint in one row."""
+    s = index_stats(chunks).crossJoin(sync_record(state).select("last_sync"))
+    return s.select(F.col("files").alias("files_indexed"), F.col("chunks").alias("total_chunks"), "last_sync", F.lit(path).alias("path"), F.lit(model).alias("embedding_model"), F.lit(endpoint).alias("embedding_endpoint"))
+
+
+def overview(chunks: DataFrame, state: DataFrame, files: DataFrame, eligible: Column, config: dict[str, object] | None = None, size_bytes: int = 0, path: str = "") -> DataFrame:
+    """The whole report as one nested row: index (with its extensions, most frequent first), sync and config.
+
+    Its list of files is `file_stats`, a table of its own, as it grows with the index.
+    """
+    extensions = extension_counts(chunks).agg(F.sort_array(F.collect_list(F.struct((-F.col("files")).alias("n"), F.col("extension").alias("ext")))).alias("x"))
+    listed = F.transform("x", lambda e: F.struct(e["ext"].alias("ext"), (-e["n"]).alias("count"))).alias("extensions")
+    s, c = index_stats(chunks), coverage(chunks, files, eligible).select("eligible", "coverage_percent")
+    out = s.crossJoin(c).crossJoin(extensions).crossJoin(sync_record(state))
+    index = F.struct(F.col("files").alias("files_indexed"), F.col("chunks").alias("total_chunks"), F.col("eligible").alias("eligible_files"), "coverage_percent", "avg_chunks_per_file", listed, F.lit(size_bytes).cast("bigint").alias("size_bytes"), F.lit(path).alias("path"))
+    return out.select(index.alias("index"), F.struct("status", "total", "completed", "current_file", "error", "last_sync").alias("sync"), F.create_map(*(F.lit(x if k == 0 else None if x is None else str(x)) for kv in (config or {}).items() for k, x in enumerate(kv))).cast("map<string,string>").alias("config"))

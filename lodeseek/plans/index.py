@@ -128,10 +128,18 @@ def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
     old = chunks(spark, d, "id", "file_path", "chunk_index", "start_line", "end_line", "file_hash")
     out = maintain.upsert_chunks(old, _rewritten(spark, d))
     top = F.broadcast(old.agg(F.max("id").alias("top")))
-    # New ids only have to be new and unique; which file gets which is not fixed.
+    # Which file gets which new id is not fixed; `upsert_new_ids` shows that they are new, unique and without gaps.
     return out.crossJoin(top).select(F.when(F.col("id") <= F.col("top"), F.col("id")).alias("id"), "file_path", "chunk_index", "file_hash")
 
 
+def upsert_new_ids(spark: SparkSession, d: str) -> DataFrame:
+    """How many chunks are new, how many ids they have, and the first and last of these counted from the largest id before."""
+    old = chunks(spark, d, "id", "file_path", "chunk_index", "start_line", "end_line", "file_hash")
+    top = F.broadcast(old.agg(F.max("id").alias("top")))
+    new = maintain.upsert_chunks(old, _rewritten(spark, d)).crossJoin(top).where("id > top")
+    return new.agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("ids"), F.min(F.col("id") - F.col("top")).alias("first"), F.max(F.col("id") - F.col("top")).alias("last"))
+
+
 def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
     old = chunks(spark, d, "id", "file_path", "chunk_index")
     new = old.join(old.groupBy("file_path").agg(F.max("chunk_index").alias("last")), "file_path").where("chunk_index <= floor(last / 2)")
@@ -155,11 +163,26 @@ def status_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overview(spark: SparkSession, d: str) -> DataFrame:
-    """The nested report as JSON."""
+    """The nested report, each of its parts as JSON."""
     stored = chunks(spark, d, "id", "file_path", "chunk_text")
     files = stored.groupBy("file_path").agg(F.sum(F.octet_length("chunk_text")).alias("size_bytes"))
-    o = status.overview(stored, table(spark, d, "sync_state"), files, _eligible())
-    return o.select("index.files", "index.chunks", "index.avg_chunks_per_file", "index.eligible", "index.coverage_percent", F.element_at("sync", F.lit("sync_status")).alias("sync_status"))
+    o = status.overview(stored, table(spark, d, "sync_state"), files, _eligible(), C.summary(C.DEFAULTS, "/index"), 0, "/index")
+    keep = {"ignoreNullFields": "false"}
+    return o.select(F.to_json("index", keep).alias("index"), F.to_json("sync", keep).alias("sync"), F.to_json("config", keep).alias("config"))
+
+
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    e = C.DEFAULTS["embedding"]
+    return status.index_status(chunks(spark, d, "id", "file_path"), table(spark, d, "sync_state"), e["model"], e["api_base"], "/index")
+
+
+def config_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The settings a report shows, for each preset and for one of the user's own."""
+    rows = []
+    for name in [*C.PROVIDERS, None]:
+        own = dict(zip(C.PROVIDER_KEYS, C.PROVIDERS[name], strict=True)) if name else {"model": "own-model"}
+        rows += [(name or "own", k, str(v)) for k, v in C.summary(C.merge(C.DEFAULTS, {"embedding": own}), "/index").items()]
+    return spark.createDataFrame(rows, "preset string, key string, value string")
 
 
 _HOME = "/root/work/team"
@@ -235,7 +258,7 @@ def vector_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (eligible_files, file_hashes, syntax_chunks, fixed_chunks, hybrid_chunk_dispatch, file_type_multiplier, path_parts, grep_redirect, index_stats, file_stats, extension_counts, coverage_report, changed_files, gc_candidates, listing_union, upsert_chunks, orphan_chunks, sync_progress, cleared_progress, health_check, status_sentence, overview, blacklist_check, whitelist_paths, ancestor_paths, provider_detect, config_sources, gc_debounce, gc_debounce_day, event_routing, stream_latest_edit, vector_cosine_pairs)
+    for f in (eligible_files, file_hashes, syntax_chunks, fixed_chunks, hybrid_chunk_dispatch, file_type_multiplier, path_parts, grep_redirect, index_stats, file_stats, extension_counts, coverage_report, changed_files, gc_candidates, listing_union, upsert_chunks, upsert_new_ids, orphan_chunks, sync_progress, cleared_progress, health_check, status_sentence, overview, index_status, config_summary, blacklist_check, whitelist_paths, ancestor_paths, provider_detect, config_sources, gc_debounce, gc_debounce_day, event_routing, stream_latest_edit, vector_cosine_pairs)
 }
 
 
@@ -351,8 +374,24 @@ SQL = {
     "sync_progress": "select '{' || string_agg('\"' || key || '\":\"' || replace(value, '\"', '\\\"') || '\"', ',' order by key) || '}' as progress from sync_state where key like 'sync_%'",
     "cleared_progress": "select key, value from sync_state where key not in ('sync_status', 'sync_started_at', 'sync_total_files', 'sync_completed_files', 'sync_current_file', 'sync_error')",
     "health_check": "with s as (select coalesce(max(value) filter (key = 'sync_status'), 'idle') status, coalesce(try_cast(max(value) filter (key = 'embedding_dimensions') as integer) <> 64, false) dimension_mismatch from sync_state), f as (select count(distinct file_path) files from chunks) select files, status, dimension_mismatch, files > 0 and status <> 'error' and not dimension_mismatch as healthy from f, s",
-    "status_sentence": "with s as (select coalesce(max(value) filter (key = 'sync_status'), 'idle') status from sync_state), f as (select count(distinct file_path) files, count(distinct id) chunks from chunks) select case when files = 0 then 'No index yet.' when status = 'error' then 'Index has ' || files || ' files, ' || chunks || ' chunks; the last sync failed.' else 'Index has ' || files || ' files, ' || chunks || ' chunks; status ' || status || '.' end as sentence from f, s",
-    "overview": f"with {_STORED}, e as (select count(*) filter ({_ELIGIBLE}) eligible from stored), f as (select count(distinct file_path) files, count(distinct id) chunks from chunks) select files, chunks, floor(chunks / files * 10 + 0.5) / 10 as avg_chunks_per_file, eligible, floor(files / eligible * 100 + 0.5) as coverage_percent, (select value from sync_state where key = 'sync_status') as sync_status from f, e",
+    "status_sentence": "with s as (select coalesce(max(value) filter (key = 'sync_status'), 'idle') status, coalesce(try_cast(max(value) filter (key = 'embedding_dimensions') as integer) <> 64, false) other from sync_state), f as (select count(distinct file_path) files, count(distinct id) chunks from chunks) select case when files = 0 then 'No index yet; the next session makes one.' when status = 'error' or other then 'The index can''t be used; search by text and rebuild it if need be.' else 'Hybrid search is on (' || files || ' files, ' || chunks || ' chunks); ask it before searching by text.' end as sentence from f, s",
+    "upsert_new_ids": f"with {_OLD} select count(*) as chunks, count(*) as ids, 1 as first, count(*) as last from size where last % 2 = 1",
+    "overview": f"""with {_STORED}, e as (select count(*) filter ({_ELIGIBLE}) eligible from stored), f as (select count(distinct file_path) files, count(distinct id) chunks from chunks),
+x as (select case when e = '' then '(none)' else e end ext, count(*) n from (select distinct file_path, {_EXT} e from chunks) group by 1),
+s as (select {", ".join(f"(select value from sync_state where key = '{k}') as {k}" for k in ("sync_status", "sync_total_files", "sync_completed_files", "sync_current_file", "sync_error", "last_sync_time"))})
+select '{{"files_indexed":' || files || ',"total_chunks":' || chunks || ',"eligible_files":' || eligible || ',"coverage_percent":' || floor(files / eligible * 100 + 0.5) || ',"avg_chunks_per_file":' || floor(chunks / files * 10 + 0.5) / 10
+  || ',"extensions":[' || (select string_agg('{{"ext":"' || ext || '","count":' || n || '}}', ',' order by n desc, ext) from x) || '],"size_bytes":0,"path":"/index"}}' as index,
+  '{{"status":"' || coalesce(sync_status, 'idle') || '","total":' || coalesce(try_cast(sync_total_files as integer), 0) || ',"completed":' || coalesce(try_cast(sync_completed_files as integer), 0)
+  || ',"current_file":' || coalesce('"' || sync_current_file || '"', 'null') || ',"error":' || coalesce('"' || sync_error || '"', 'null') || ',"last_sync":' || coalesce('"' || last_sync_time || '"', 'null') || '}}' as sync,
+  '{{"model":"nomic-embed-text","endpoint":"http://localhost:11434/v1","dimensions":"768","provider":"ollama","provider_description":"Ollama (local)","chunking_strategy":"hybrid","max_tokens_per_chunk":"512","storage_path":"/index"}}' as config
+from f, e, s""",
+    "index_status": "select count(distinct file_path) as files_indexed, count(distinct id) as total_chunks, (select value from sync_state where key = 'last_sync_time') as last_sync, '/index' as path, 'nomic-embed-text' as embedding_model, 'http://localhost:11434/v1' as embedding_endpoint from chunks",
+    "config_summary": """
+with p as (select * from (values ('ollama', 'nomic-embed-text', 'http://localhost:11434/v1', '768', 'ollama', 'Ollama (local)'), ('openai', 'text-embedding-3-small', 'https://api.openai.com/v1', '1536', 'openai', 'OpenAI'),
+  ('voyage', 'voyage-code-3', 'https://api.voyageai.com/v1', '1024', 'voyage', 'Voyage AI'), ('litellm', 'voyage-code-3', 'http://localhost:4000/v1', '1024', 'litellm', 'LiteLLM proxy (Vertex AI, Bedrock, etc.)'),
+  ('own', 'own-model', 'http://localhost:11434/v1', '768', 'custom', 'Custom')) t(preset, model, endpoint, dimensions, provider, provider_description)),
+w as (select *, 'hybrid' chunking_strategy, '512' max_tokens_per_chunk, '/index' storage_path from p)
+unpivot w on model, endpoint, dimensions, provider, provider_description, chunking_strategy, max_tokens_per_chunk, storage_path into name key value value""",
     "blacklist_check": f"with p as (select distinct '/root/work/' || array_to_string(string_split(file_path, '/')[1:2], '/') path from chunks union select unnest(['/', '/root', '/root/work', '{_HOME}', '/root/other'])) select path, not (path = '/root/work/src' or starts_with(path, '/root/work/src/')) and path in ('/', '/root', '/root/work', '{_HOME}', '/root/work/docs/ui', '/root/work/src/core') as barred from p",
     "whitelist_paths": "with p as (select distinct '/' || file_path path from chunks), w as (select distinct '/' || regexp_extract(file_path, '^(.*)/[^/]*$', 1) entry from documents where file_path is not null) select distinct path from p, w where path = entry or starts_with(path, entry || '/') or entry = '/'",
     "ancestor_paths": "with h as (select distinct '/' || regexp_extract(file_path, '^(.*)/[^/]*$', 1) home from chunks) select home, unnest(" + _ANCESTORS.replace("{x}", "home") + ") as path from h",

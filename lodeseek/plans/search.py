@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.scoring import min_max_best_low, rrf
 from lodeseek.functions.porter import porter_tokens_udf
-from lodeseek.functions.text import SYNONYMS, STOP_WORDS, extract_identifiers, identifier_boost, prepare_query
+from lodeseek.functions.text import SYNONYMS, STOP_WORDS, extract_identifiers, identifier_boost, prepare_query, tokens
+from lodeseek.functions.paths import like_prefix
 from lodeseek.operators import lexical
 from lodeseek.operators.fusion import hybrid_search as _hybrid
 from lodeseek.operators.fusion import vector_search, word_search
-from lodeseek.operators.merge import merge_adjacent
+from lodeseek.operators.merge import merge_adjacent, presented
 from lodeseek.operators.vector import vector_top_k
-from lodeseek.sources.corpora import chunks, table
+from lodeseek.plans import stems
+from lodeseek.sources.corpora import chunks, fingerprint, kept, table
 from pyspark.sql import Window
 
 TEXT = ("id", "file_path", "chunk_text", "start_line", "end_line", "identifiers")
@@ -37,31 +39,44 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
-    found = vector_search(chunks(spark, d, "id", "file_path", "start_line", "end_line", "embedding"), vectors_asked(spark, d), 10, 0.35)
+    found = vector_search(chunks(spark, d, "id", "file_path", "chunk_text", "start_line", "end_line", "embedding"), vectors_asked(spark, d), 10, 0.35)
     return found.select("query_id", "id", "file_path", F.round("similarity", 6).alias("similarity"), "place")
 
 
 def vector_path_filtered(spark: SparkSession, d: str) -> DataFrame:
-    found = vector_top_k(chunks(spark, d, "id", "file_path", "embedding"), vectors_asked(spark, d), 10, path_prefix=F.col("file_path").ilike("SRC/%"))
+    found = vector_top_k(chunks(spark, d, "id", "file_path", "embedding"), vectors_asked(spark, d), 10, path_prefix=like_prefix(F.col("file_path"), "SRC/"))
     return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def word_index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
+    """The stored word index of the chunk table, built once for each state of the table in a session, as a sync would keep it."""
+    rows = chunks(spark, d, "id", "file_path", "chunk_text", "identifiers")
+    path = kept(spark, fingerprint(spark, f"{d}/chunks.parquet"), "postings", lambda: lexical.sorted_postings(rows))
+    return lexical.open_index(spark, path)
+
+
+def fts_index(spark: SparkSession, d: str) -> DataFrame:
+    """The word index built anew, whatever is stored: rows, chunks and words."""
+    built = lexical.build_index(table(spark, d, "chunks").select("id", "file_path", "chunk_text", "identifiers").dropDuplicates(["id"]))
+    return built.postings.where("term <> ''").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms")).withColumns({"chunks": F.lit(built.chunks).cast("bigint"), "words": F.lit(built.words).cast("bigint")})
+
+
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(chunks(spark, d, "id", "file_path", "chunk_text", "identifiers"))
+    return lexical.term_places(word_index(spark, d))
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.term_stats(chunks(spark, d, "id", "file_path", "chunk_text", "identifiers"))
+    return lexical.term_stats(word_index(spark, d))
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    lengths = lexical.doc_lengths(chunks(spark, d, "id", "file_path", "chunk_text", "identifiers"))
+    lengths = lexical.doc_lengths(word_index(spark, d))
     return lengths.agg(F.count("*").alias("n_all"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
 
 
 def _bm25(spark: SparkSession, d: str, mode: str, **kw) -> DataFrame:  # noqa: ANN003
     q = table(spark, d, "search_queries").where("query_text is not null")
-    return lexical.bm25(chunks(spark, d, "id", "file_path", "chunk_text", "identifiers"), q, mode, **kw).withColumn("bm25", F.round("bm25", 6))
+    return lexical.bm25(word_index(spark, d), q, mode, **kw).withColumn("bm25", F.round("bm25", 6))
 
 
 def bm25_or(spark: SparkSession, d: str) -> DataFrame:
@@ -77,33 +92,50 @@ def bm25_and_or_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_path_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d, "fallback", path_prefix=F.col("file_path").ilike("SRC/%"))
+    return _bm25(spark, d, "fallback", within=chunks(spark, d, "id", "file_path").where(like_prefix(F.col("file_path"), "SRC/")))
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     """How often each query phrase of two tokens or more stands in each chunk."""
     q = table(spark, d, "search_queries").where("query_text is not null")
     phrases = lexical.query_phrases(q).where("contains(phrase, '_')")
-    return lexical.phrase_counts(chunks(spark, d, "id", "file_path", "chunk_text", "identifiers"), phrases)
+    return lexical.phrase_counts(word_index(spark, d), phrases).select("phrase", "id", "f")
 
 
 def fts_porter(spark: SparkSession, d: str) -> DataFrame:
-    """The same ranking with folding and stemming."""
-    return _bm25(spark, d, "fallback", tokenizer=porter_tokens_udf)
+    """The stem of every word of the chunk texts, once."""
+    words = chunks(spark, d, "id", "chunk_text").select(F.explode(tokens(F.col("chunk_text"))).alias("word")).where("word rlike '^[a-z0-9]+$'").distinct()
+    return words.select("word", F.array_join(porter_tokens_udf(F.col("word")), " ").alias("stem"))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    found = _hybrid(chunks(spark, d, *TEXT, "embedding"), asked(spark, d))
+    found = _hybrid(chunks(spark, d, *TEXT, "embedding"), word_index(spark, d), asked(spark, d))
     return found.select("query_id", "id", "file_path", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "place")
 
 
 def fts_only_search(spark: SparkSession, d: str) -> DataFrame:
-    found = word_search(chunks(spark, d, *TEXT), asked(spark, d))
+    found = word_search(chunks(spark, d, *TEXT), word_index(spark, d), asked(spark, d))
     return found.select("query_id", "id", "file_path", F.round("score", 6).alias("score"), "place", "note")
 
 
 def hybrid_search_merged(spark: SparkSession, d: str) -> DataFrame:
-    return merge_adjacent(_hybrid(chunks(spark, d, *TEXT, "embedding"), asked(spark, d)))
+    return merge_adjacent(_hybrid(chunks(spark, d, *TEXT, "embedding"), word_index(spark, d), asked(spark, d)))
+
+
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid results in the form that is shown."""
+    return presented(hybrid_search_merged(spark, d))
+
+
+def fallback_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results by words alone, merged, in the form that is shown, with their note."""
+    return presented(merge_adjacent(word_search(chunks(spark, d, *TEXT), word_index(spark, d), asked(spark, d))))
+
+
+def vector_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results by vectors alone, merged, in the form that is shown, without a score."""
+    found = vector_search(chunks(spark, d, *TEXT, "embedding"), asked(spark, d), 10, 0.35)
+    return presented(merge_adjacent(found))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +168,7 @@ def identifier_boosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_threshold, vector_path_filtered, postings, term_stats, corpus_stats, bm25_or, bm25_and, bm25_and_or_fallback, bm25_path_filtered, bm25_phrase, fts_porter, hybrid_search, fts_only_search, hybrid_search_merged, rrf_fusion, bm25_normalize, identifiers, fts_query_prep)
+    for f in (vector_topk, vector_threshold, vector_path_filtered, postings, term_stats, corpus_stats, bm25_or, bm25_and, bm25_and_or_fallback, bm25_path_filtered, bm25_phrase, fts_porter, hybrid_search, fts_only_search, hybrid_search_merged, fts_index, search_results, fallback_results, vector_results, rrf_fusion, bm25_normalize, identifiers, fts_query_prep)
 } | {"identifier_boost": identifier_boosts}
 
 
@@ -179,24 +211,27 @@ w0 as (select query_id, tokens, flatten(list_transform(tokens, lambda w:
 prep as (select query_id, tokens, len(tokens) >= 3 as two_phase,
     case when len(tokens) >= 3 then {_ordered_distinct('tokens')} else [] end and_phrases, {_ordered_distinct('wide')} or_phrases from w0)"""
 
-_TOKEN = "'[\\p{L}\\p{N}]+'"
 _POSTINGS = f"""
 c as (select distinct id, file_path, chunk_text, identifiers from chunks),
-cols as (select id, 0 col, regexp_extract_all(lower(coalesce(file_path, '')), {_TOKEN}) terms from c
-  union all select id, 1, regexp_extract_all(lower(coalesce(chunk_text, '')), {_TOKEN}) from c
-  union all select id, 2, regexp_extract_all(lower(coalesce(identifiers, '')), {_TOKEN}) from c),
-post as (select id, col, unnest(range(len(terms))) as pos, unnest(terms) as term from cols)"""
+cols as (select id, 0 col, {stems.words("file_path")} words from c
+  union all select id, 1, {stems.words("chunk_text")} from c
+  union all select id, 2, {stems.words("identifiers")} from c),
+raw as (select id, col, unnest(range(len(words))) as pos, unnest(words) as word from cols),
+{stems.stems("select word from raw")},
+post as (select id, col, pos, term from raw join stems using (word))"""
 
 _COUNTS = f"""
 q as (select query_id, p phrase, list_contains(and_phrases, p) in_and, list_contains(or_phrases, p) in_or, case when two_phase then len(and_phrases) else 0 end n_and
   from (select *, unnest(list_distinct(and_phrases || or_phrases)) p from prep)),
-ph as (select phrase, len(terms) as len, unnest(range(len(terms))) as off, unnest(terms) as term from (select phrase, regexp_extract_all(lower(phrase), {_TOKEN}) terms from (select distinct phrase from q))),
+ph0 as (select phrase, len(words) as len, unnest(range(len(words))) as off, unnest(words) as word from (select phrase, {stems.words("phrase")} words from (select distinct phrase from q))),
+{stems.stems("select word from ph0", "asked_stems")},
+ph as (select phrase, len, off, term from ph0 join asked_stems using (word)),
 occ as (select phrase, id from post join ph using (term) group by phrase, len, id, col, pos - off having count(*) = len),
 cnt as (select phrase, id, count(*) f from occ group by phrase, id)"""
 
 _BM25 = f"""
 with {_PREP.lstrip()}, {_POSTINGS.lstrip()}, {_COUNTS.lstrip()},
-dl as (select id, sum(len(terms)) dl from cols group by id),
+dl as (select id, sum(len(words)) dl from cols group by id),
 corpus as (select count(*) n_all, avg(dl) avgdl from dl),
 df as (select phrase, count(*) df from cnt group by phrase),
 parts as (select phrase, id, case when ln((n_all - df + 0.5) / (df + 0.5)) > 0 then ln((n_all - df + 0.5) / (df + 0.5)) else 1e-6 end * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) part
@@ -248,31 +283,54 @@ hybrid as (select * from (select *, row_number() over (partition by query_id ord
 """
 )
 
+_NOTE = "'FTS-only result (embedding server unavailable)'"
+_WORDS = (
+    _WHOLE.rstrip()
+    + f""", {_ASKED.lstrip()},
+fts as (select * from (select *, row_number() over (partition by query_id order by bm25, id) rank from fts0) where rank <= 20),
+sc as (select query_id, id, rank, case when min(bm25) over w = max(bm25) over w then 1 else (max(bm25) over w - bm25) / (max(bm25) over w - min(bm25) over w) end scaled from fts window w as (partition by query_id)),
+o as (select sc.query_id, sc.id, file_path, chunk_text, start_line, end_line, 0.0::double similarity, rank, round(scaled * {_MULT} * {_boost('query_text', 'chunk_text')}, 12) score from sc join ct using (id) join asked using (query_id)),
+word_hits as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, rank) as integer) place from o) where place <= 10)
+"""
+)
+
+
+def _merged_sql(hits: str) -> str:
+    """Gaps and islands over a list of hits."""
+    return f"""g as (select *, max(end_line) over (partition by query_id, file_path order by start_line, end_line, id rows between unbounded preceding and 1 preceding) so_far from {hits}),
+i as (select *, sum(case when so_far is null or start_line > so_far + 5 then 1 else 0 end) over (partition by query_id, file_path order by start_line, end_line, id) island from g),
+m as (select query_id, file_path, island, min(start_line) start_line, max(end_line) end_line, max(round(similarity, 3)) similarity, max(round(score, 3)) score, arg_min(substring(chunk_text, 1, 300), (start_line, end_line, id)) preview from i group by query_id, file_path, island),
+merged as (select *, cast(row_number() over (partition by query_id order by coalesce(score, similarity) desc, file_path, start_line) as integer) as place from m)
+"""
+
+
+_MERGED = _HYBRID.rstrip() + ", " + _merged_sql("hybrid")
+_SHOWN = "select query_id, file_path as file, start_line || '-' || end_line as lines, printf('%.3f', similarity) as similarity, case when score is not null then printf('%.3f', score) end as score, preview, {note} as note, place from merged"
+
 SQL = {
     "vector_topk": _VECTORS.format(narrow="") + "select query_id, id, round(sim, 6) as similarity, cast(rank as integer) as rank from r where rank <= 10",
     "vector_threshold": _VECTORS.format(narrow="") + "select query_id, id, file_path, round(sim, 6) as similarity, cast(rank as integer) as place from r where rank <= 10 and sim >= 0.35",
     "vector_path_filtered": _VECTORS.format(narrow="and b.file_path ilike 'SRC/%'") + "select query_id, id, round(sim, 6) as similarity, cast(rank as integer) as rank from r where rank <= 10",
     "postings": f"with {_POSTINGS.lstrip()} select id, col, cast(pos as integer) as pos, term from post",
     "term_stats": f"with {_POSTINGS.lstrip()} select term, count(distinct id) as df, count(*) as cf from post group by term",
-    "corpus_stats": f"with {_POSTINGS.lstrip()}, dl as (select id, sum(len(terms)) dl from cols group by id) select count(*) as n_all, round(avg(dl), 6) as avgdl, cast(max(dl) as integer) as longest from dl",
+    "corpus_stats": f"with {_POSTINGS.lstrip()}, dl as (select id, sum(len(words)) dl from cols group by id) select count(*) as n_all, round(avg(dl), 6) as avgdl, cast(max(dl) as integer) as longest from dl",
     "bm25_or": _WHOLE + "select query_id, id, round(or_score, 6) as bm25 from met where or_score is not null",
     "bm25_and": _WHOLE + "select query_id, id, round(and_score, 6) as bm25 from chosen where full_match",
     "bm25_and_or_fallback": _WHOLE + f"select query_id, id, round(bm25, 6) as bm25 from ({_FALLBACK})",
     "bm25_path_filtered": _SRC + f"select query_id, id, round(bm25, 6) as bm25 from ({_FALLBACK})",
     "bm25_phrase": f"with {_PREP.lstrip()}, {_POSTINGS.lstrip()}, {_COUNTS.lstrip()} select phrase, id, f from cnt where contains(phrase, '_')",
     "hybrid_search": _HYBRID + "select query_id, id, file_path, round(similarity, 6) as similarity, round(score, 6) as score, cast(place as integer) as place from hybrid",
-    "fts_only_search": _WHOLE.rstrip()
-    + f""", {_ASKED.lstrip()},
-fts as (select * from (select *, row_number() over (partition by query_id order by bm25, id) rank from fts0) where rank <= 10),
-sc as (select query_id, id, rank, case when min(bm25) over w = max(bm25) over w then 1 else (max(bm25) over w - bm25) / (max(bm25) over w - min(bm25) over w) end scaled from fts window w as (partition by query_id)),
-o as (select sc.query_id, sc.id, file_path, rank, round(scaled * {_MULT} * {_boost('query_text', 'chunk_text')}, 12) score from sc join ct using (id) join asked using (query_id))
-select query_id, id, file_path, round(score, 6) as score, cast(row_number() over (partition by query_id order by score desc, rank) as integer) as place, 'word-only match, no vector' as note from o""",
-    "hybrid_search_merged": _HYBRID.rstrip()
-    + """,
-g as (select *, max(end_line) over (partition by query_id, file_path order by start_line, end_line, id rows between unbounded preceding and 1 preceding) so_far from hybrid),
-i as (select *, sum(case when so_far is null or start_line > so_far + 5 then 1 else 0 end) over (partition by query_id, file_path order by start_line, end_line, id) island from g),
-m as (select query_id, file_path, island, min(start_line) start_line, max(end_line) end_line, max(round(similarity, 3)) similarity, max(round(score, 3)) score, arg_min(substring(chunk_text, 1, 300), (start_line, end_line, id)) preview from i group by all)
-select query_id, file_path, start_line, end_line, similarity, score, preview, cast(row_number() over (partition by query_id order by score desc, file_path, start_line) as integer) as place from m""",
+    "fts_only_search": _WORDS + f"select query_id, id, file_path, round(score, 6) as score, place, {_NOTE} as note from word_hits",
+    "hybrid_search_merged": _MERGED + "select query_id, file_path, start_line, end_line, similarity, score, preview, null::varchar as note, place from merged",
+    "search_results": _MERGED + _SHOWN.format(note="null::varchar"),
+    "fallback_results": _WORDS.rstrip().rstrip(",") + ", " + _merged_sql("word_hits") + _SHOWN.format(note=_NOTE),
+    "vector_results": f"""with asked as (select s.query_id, cast(embedding as double[]) e from search_queries s join embeddings on vec_id = s.query_id where query_text is not null),
+v as (select distinct id, file_path, chunk_text, start_line, end_line, cast(embedding as double[]) e from chunks where embedding is not null),
+sims as (select query_id, v.id, file_path, chunk_text, start_line, end_line, null::double score, round(case when list_aggregate(list_transform(v.e, lambda x: abs(x)), 'sum') = 0 then 0 else list_cosine_similarity(asked.e, v.e) end, 12) similarity from asked, v),
+best as (select * from (select *, row_number() over (partition by query_id order by similarity desc, id) r from sims) where r <= 10 and similarity >= 0.35),
+""" + _merged_sql("best") + _SHOWN.format(note="null::varchar"),
+    "fts_porter": f"with raw as (select distinct unnest(regexp_extract_all(lower(coalesce(chunk_text, '')), '[\\p{{L}}\\p{{N}}]+')) word from chunks), w as (select word from raw where regexp_matches(word, '^[a-z0-9]+$')), {stems.stems('select word from w')} select word, term as stem from stems",
+    "fts_index": f"with {_POSTINGS.lstrip()}, p as (select distinct id, term from post) select (select count(*) from p) as postings, (select count(distinct term) from p) as terms, (select count(*) from c) as chunks, (select count(*) from post) as words",
     "rrf_fusion": """
 with m as (select distinct query_id, match_id, try_cast(similarity as double) a, try_cast(score as double) b from search_matches),
 r as (select query_id, match_id, case when a > 0 then row_number() over (partition by query_id order by a desc nulls last, match_id) end vec_rank, case when b > 0 then row_number() over (partition by query_id order by b desc nulls last, match_id) end fts_rank from m)

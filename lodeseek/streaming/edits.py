@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodeseek.operators.maintain import replace_files
+from lodeseek.session import staged
 from lodeseek.sources.warehouse import Warehouse
 
 
@@ -23,8 +23,10 @@ def route(events: DataFrame, kind: str = "type", properties: str = "properties")
 
 
 def latest_edits(edits: DataFrame, key: str = "file_path", version: str = "content_version") -> DataFrame:
-    """The last edit of each file."""
-    return edits.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where("__r = 1").drop("__r")
+    """The last edit of each file; of edits with one version, one. Only each file's largest version is kept by a partition before the shuffle."""
+    rest = [c for c in edits.columns if c not in (key, version)]
+    last = edits.groupBy(key).agg(F.max(F.struct(F.col(version), *map(F.col, rest))).alias("last"))
+    return last.select(*(F.col(f"last.{c}").alias(c) if c != key else F.col(key) for c in edits.columns))
 
 
 def apply_edits(stream: DataFrame, warehouse: Warehouse, index_files: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -35,14 +37,11 @@ def apply_edits(stream: DataFrame, warehouse: Warehouse, index_files: Callable[[
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        state = warehouse.read("sync_state")
-        done = state.where("key = 'stream_batch'").select(F.expr("try_cast(value as bigint)")).first()
-        if done and done[0] is not None and done[0] >= number:
+        done = warehouse.state().get("stream_batch")
+        if done and done.isdigit() and int(done) >= number:
             return
-        files = latest_edits(rows).where("file_path <> ''")
-        chunks = replace_files(warehouse.read("chunks"), index_files(files))
-        mark = rows.sparkSession.createDataFrame([("stream_batch", str(number))], "key string, value string")
-        warehouse.commit(chunks, state.where("key <> 'stream_batch'").unionByName(mark))
+        fresh = staged(index_files(latest_edits(rows).where("file_path <> ''")), "edits")
+        warehouse.commit(fresh, values={"stream_batch": str(number)})
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -5,7 +5,6 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.functions.porter import porter_tokens_udf
 from lodeseek.operators import lexical, maintain, merge, status
 from lodeseek.operators.chunking import chunk_files, register_chunk_udtf, spans_by_size
 from lodeseek.operators.eligibility import is_blacklisted, redirects_grep, should_index, whitelisted_paths
@@ -60,18 +59,19 @@ def test_bm25_equals_sqlite(spark, match):
     want = dict(con.execute("select rowid, rank from t where t match ?", [query]).fetchall())
     q = spark.createDataFrame([(1, match)], "query_id bigint, query_text string")
     phrases = spark.createDataFrame([(w,) for w in match.split()], "phrase string")
-    counts = lexical.phrase_counts(five(spark), phrases, tokenizer=porter_tokens_udf)
+    index = lexical.build_index(five(spark))
+    counts = lexical.phrase_counts(index, phrases)
     got = {r.id for r in counts.collect()}
     assert got == set(want)
     if match in ("connection", "cafe"):
-        scores = {r.id: r.bm25 for r in lexical.bm25(five(spark), q, "or", tokenizer=porter_tokens_udf).collect()}
+        scores = {r.id: r.bm25 for r in lexical.bm25(index, q, "or").collect()}
         assert scores == pytest.approx(want, rel=1e-6)
 
 
 def test_two_phases(spark):
     q = spark.createDataFrame([(1, "user auth connection"), (2, "user auth nowhere"), (3, "the")], "query_id bigint, query_text string")
     got = {}
-    for r in lexical.bm25(five(spark), q).collect():
+    for r in lexical.bm25(lexical.build_index(five(spark)), q).collect():
         got.setdefault(r.query_id, set()).add(r.id)
     assert got[1] == {3} and got[2] >= {1, 3, 4} and 3 not in got
 
@@ -80,8 +80,9 @@ def test_search(spark):
     rows = [(1, "src/auth.ts", 0, "export function signInWithGoogle() {}", 1, 1, [0.9, 0.1, 0.0, 0.0], "h1", "signInWithGoogle"), (2, "README.md", 0, "This project uses signInWithGoogle.", 1, 1, [0.8, 0.2, 0.0, 0.0], "h2", "signInWithGoogle"), (3, "z.ts", 0, "zero", 1, 1, [0.0] * 4, "h3", "")]
     chunks = spark.createDataFrame(rows, CHUNKS)
     q = spark.createDataFrame([(1, "signInWithGoogle function", [0.9, 0.1, 0.0, 0.0])], "query_id bigint, query_text string, query_vector array<float>")
-    assert [r.file_path for r in hybrid_search(chunks, q, threshold=0.0).orderBy("place").collect()][:2] == ["src/auth.ts", "README.md"]
-    assert {r.note for r in word_search(chunks, q).collect()} == {"word-only match, no vector"}
+    index = lexical.build_index(chunks)
+    assert [r.file_path for r in hybrid_search(chunks, index, q, threshold=0.0).orderBy("place").collect()][:2] == ["src/auth.ts", "README.md"]
+    assert {r.note for r in word_search(chunks, index, q).collect()} == {"FTS-only result (embedding server unavailable)"}
     assert [r.id for r in vector_search(chunks, q, 2, 0.35).orderBy("place").collect()] == [1, 2]
     assert {r.id: r.similarity for r in vector_top_k(chunks, q, 5, block_bytes=1).collect()}[3] == 0.0
     assert [r.id for r in vector_top_k(chunks, q, 5, path_prefix=F.col("file_path").ilike("SRC/%")).collect()] == [1]
@@ -133,5 +134,5 @@ def test_status(spark):
     assert status.sync_progress(state).first()[0] == {"sync_status": "idle", "syncXx": "1"}
     assert status.state_value(status.set_state(state, "sync_status", "error"), "sync_status") == "error"
     assert status.clear_progress(state).count() == 2
-    assert status.status_sentence(empty, state, 64).first()[0] == "No index yet."
+    assert status.status_sentence(empty, state, 64).first()[0] == "No index yet; the next session makes one."
     assert status.coverage(empty, spark.createDataFrame([], "file_path string"), F.lit(True)).first().coverage_percent is None

@@ -35,8 +35,8 @@ def test_against_sql(spark, sf, con, name):
     assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr) == want
 
 
-def test_every_query_but_stemming_has_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"fts_porter"}
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_flagship(spark, sf):
