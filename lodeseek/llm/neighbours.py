@@ -1,17 +1,19 @@
 """The most similar vectors for every vector (problem 5).
 
-Unit vectors are projected by 2-stable (Gaussian) projections, one for each level of a kd-tree whose
-splits are medians of a bounded sample. A query first searches its own leaf, which bounds how far its
-k-th neighbour can be. It then visits further leaves, but those that hold a neighbour within that
-bound with so small a chance that the chances of all skipped leaves together stay under `tail`,
-however deep the tree. All points of a visited leaf are compared; what is found is verified on the
-full vectors.
-
-The chance: where a query is projected to p, a unit vector at cosine c to it is projected to
-N(c*p, 1 - c*c), for each axis by itself. A node holds it with the product of the chances to lie on the
-node's side of each cut. A node l cuts deep is skipped under tail / 2^l, and as skipped nodes don't
-overlap, they add up to at most `tail`. Nearer neighbours lie otherwise, so a node must fall short
-at the bound and at a half, a quarter and an eighth of its distance.
+Unit vectors get M coordinates by 2-stable (Gaussian, orthonormalised) projections. A kd-tree over the
+coordinates, cut at medians of a bounded sample, has leaves of about a thousand vectors; neighbouring
+leaves form groups, which are what tasks work on. The search of a vector is incremental:
+
+1. In its own group it visits its own leaf, then the group's other leaves, each time with the bound
+   that its k-th best so far sets (or `min_cosine`, if that is higher).
+2. It then goes to the other groups that may hold something better, and to their leaves likewise.
+
+Two tests stop it. A leaf is left out once the leaves left out together hold a neighbour as near as
+the bound with a chance of at most `tail`, at any depth: where a vector has the coordinates p, those of
+a unit vector at cosine c to it are normal around c*p with variance 1 - c*c, axis by axis. In a visited
+leaf, vectors are verified in order of their projected distance until a chi-square test holds: a
+squared distance of d shows in M coordinates as d times a chi-square variable with M degrees of
+freedom, so beyond d times its quantile nothing as near as the bound is left.
 """
 
 from __future__ import annotations
@@ -25,37 +27,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.session import staged
-
-LEAF, SAMPLE, TAIL, SLACK, MAX_DEPTH = 1024, 20_000, 0.0786, 0.0008, 24
-_ROUTES = 1 << 18  # leaves, over all queries, whose chances are held at a time
-_NEARER = (1.0, 1 / 4, 1 / 16, 1 / 64)  # squared distances, as shares of the bound's
+from lodeseek.session import spread, staged
+
+LEAF, SAMPLE, TAIL, AXES = 1024, 20_000, 0.05, 16
+# Chance that the chi-square test stops before a vector as near as the bound.
+POINT_TAIL = 0.001
+# Codes have one byte a number, which moves a cosine by less than this; whatever is that close is verified on full vectors.
+SLACK = 0.008
+# A group has at most so many vectors by plan, and an index at least so many groups, so that there are tasks for all.
+GROUP, LEAST_GROUPS = 1 << 17, 8
+_NEARER = (1.0, 1 / 4)  # squared distances, as shares of the bound's, at which leaves must be held
+_ROUTES = 1 << 22  # chances held at a time
 _AT = np.linspace(-8, 8, 16_001)
 _CDF = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _AT])
-_CODE = "rep bigint, leaf bigint, code binary"
+_CODE = "rep bigint, leaf int, code binary, scale float"
+
+
+def chi_square_quantile(degrees: int, tail: float) -> float:
+    """The value that a chi-square variable exceeds with chance `tail` (Wilson and Hilferty)."""
+    a = 2 / (9 * degrees)
+    return degrees * (1 - a + NormalDist().inv_cdf(1 - tail) * math.sqrt(a)) ** 3
 
 
 class Tree:
-    """A kd-tree over projections: level l splits by projection l, each node at its own median."""
+    """A kd-tree over projections: level l cuts axis l modulo their number, each node at its own median of the sample.
+
+    Dimension and number of leaves are chosen apart: there are `axes` projections (as many as the
+    vectors have numbers, if those are fewer) and one leaf for each `leaf` of `rows`, at most
+    2^max_depth; beyond that leaves grow, and groups are split into more tasks.
+    """
 
-    def __init__(self, sample: np.ndarray, rows: int, leaf: int = LEAF, seed: int = 11) -> None:
-        depth = 0 if rows <= leaf else min(MAX_DEPTH, max(1, round(math.log2(rows / leaf))))
-        dims = sample.shape[1] if sample.ndim == 2 else 1
-        self.axes = np.random.default_rng(seed).standard_normal((dims, max(depth, 1))).astype(np.float32)[:, :depth]
+    def __init__(self, sample: np.ndarray, rows: int, leaf: int = LEAF, axes: int = AXES, seed: int = 11, max_depth: int = 20) -> None:
+        self.depth = 0 if rows <= leaf else min(max_depth, max(1, round(math.log2(rows / leaf))))
+        dims = sample.shape[1]
+        m = min(axes, dims)
+        q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, m)))
+        self.axes = (q * math.sqrt(dims)).astype(np.float32)
+        plan = min(GROUP, max(1, rows // LEAST_GROUPS))
+        self.group_bits = min(self.depth, max(0, int(math.log2(max(1, plan / leaf)))))
         self.cuts: list[np.ndarray] = []
-        p = sample @ self.axes if depth else np.zeros((len(sample), 0), np.float32)
+        p = self.project(sample)
         node = np.zeros(len(sample), np.int64)
-        for level in range(depth):
-            whole = float(np.median(p[:, level])) if len(p) else 0.0
-            cut = np.full(1 << level, whole, np.float32)
+        for level in range(self.depth):
+            own = p[:, level % m]
+            cut = np.full(1 << level, float(np.median(own)) if len(own) else 0.0, np.float32)
             order = np.argsort(node, kind="stable")
             begin = np.searchsorted(node[order], np.arange((1 << level) + 1))
-            for k in range(1 << level) if len(p) >= 1 << level else ():
-                own = order[begin[k] : begin[k + 1]]
-                if len(own) >= 16:  # under that, the median of the whole sample is the better guess
-                    cut[k] = np.median(p[own, level])
+            for k in np.flatnonzero(np.diff(begin) >= 16):  # under that, the median of the whole sample is the better guess
+                cut[k] = np.median(own[order[begin[k] : begin[k + 1]]])
             self.cuts.append(cut)
-            node = node * 2 + (p[:, level] > cut[node])
+            node = node * 2 + (own > cut[node])
+
+    @property
+    def groups(self) -> int:
+        return 1 << (self.depth - self.group_bits)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ self.axes
@@ -63,70 +88,162 @@ class Tree:
     def leaf_of(self, p: np.ndarray) -> np.ndarray:
         node = np.zeros(len(p), np.int64)
         for level, cut in enumerate(self.cuts):
-            node = node * 2 + (p[:, level] > cut[node])
+            node = node * 2 + (p[:, level % p.shape[1]] > cut[node])
         return node
 
-    def within(self, p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, leaf) for each leaf whose box is at most sqrt(reach) away from the query."""
-        q, node, far = np.arange(len(p)), np.zeros(len(p), np.int64), np.zeros(len(p), np.float32)
+    def boxes(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest and highest coordinate of each leaf on each axis."""
+        m = self.axes.shape[1]
+        lo, hi = np.full((len(leaves), m), -np.inf), np.full((len(leaves), m), np.inf)
         for level, cut in enumerate(self.cuts):
-            gap = p[q, level] - cut[node]
-            over = far + gap * gap
-            cross = over <= reach[q]
-            right = (gap > 0).astype(np.int64)
-            q, node, far = np.concatenate([q, q[cross]]), np.concatenate([node * 2 + right, (node * 2 + 1 - right)[cross]]), np.concatenate([far, over[cross]])
-        return q, node
-
-    def likely(self, p: np.ndarray, cosine: np.ndarray, tail: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, leaf), without leaves that hold a neighbour of at least `cosine` with a chance of `tail` in all; every leaf for queries whose cosine isn't above 0."""
-        c = 1 - (1 - np.clip(cosine, 0, 1))[:, None] * np.array(_NEARER)
-        width = np.sqrt(np.maximum(1e-9, 1 - c * c))
-        least = np.where(cosine > 0, tail, 0.0)
-        q, node, chance = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones((len(p), len(_NEARER)))
-        for level, cut in enumerate(self.cuts):
-            right = np.interp((c[q] * p[q, level][:, None] - cut[node][:, None]) / width[q], _AT, _CDF)
-            sides = []
-            for side, share in ((1, right), (0, 1 - right)):
-                own = chance * share
-                keep = own.max(axis=1) >= least[q] / (2 << level)
-                sides.append((q[keep], node[keep] * 2 + side, own[keep]))
-            q, node, chance = (np.concatenate(x) for x in zip(*sides, strict=True))
-        return q, node
-
-
-def reach_factor(tail: float) -> float:
-    """The chi-square quantile (one degree of freedom) at 1 - 2 * tail."""
-    return NormalDist().inv_cdf(1 - tail) ** 2
-
-
-def encode(x: np.ndarray) -> np.ndarray:
-    """Unit vectors in half precision, which moves a cosine by less than SLACK."""
-    return x.astype(np.float16)
-
-
-def _decode(code: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(code.to_pylist()), np.float16).reshape(len(code), -1).astype(np.float32)
-
-
-def _best(queries: np.ndarray, points: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, floor: np.ndarray, block: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By block of queries: its first query, (query places, point places, similarities) of all that may be among the k best, and each query's k-th best so far."""
-    for a in range(0, len(queries), block):
-        s = queries[a : a + block] @ points.T
-        s[q_ids[a : a + block, None] == p_ids[None, :]] = -2
-        low = floor[a : a + block]
-        if len(points) > k:
-            # Only rows with more than k above the floor need their k-th best.
-            many = np.flatnonzero((s >= low[:, None]).sum(axis=1) > k)
-            if len(many):
-                kth = np.partition(s[many], len(points) - k, axis=1)[:, len(points) - k]
-                low = low.copy()
-                low[many] = np.maximum(low[many], kth)
-        i, j = np.nonzero(s >= (low - SLACK)[:, None])
-        yield a, i + a, j, s[i, j], low
-
-
-def unit_vectors(records: DataFrame, id: str, vector: str) -> DataFrame:
-    """id and vec (float32 bytes of length 1). Null vectors, null ids, vectors of zero and vectors with a null or a number that is not finite are left out; short ones are filled up with zeros."""
+            c, a = cut[leaves >> (self.depth - level)], level % m
+            up = (leaves >> (self.depth - level - 1)) & 1 == 1
+            lo[:, a] = np.where(up, np.maximum(lo[:, a], c), lo[:, a])
+            hi[:, a] = np.where(up, hi[:, a], np.minimum(hi[:, a], c))
+        return lo, hi
+
+    def chances(self, p: np.ndarray, cosine: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """(query, leaf): the largest chance, over the distances in _NEARER, that the leaf holds a neighbour at that distance; 1 where the cosine isn't above 0."""
+        lo, hi = self.boxes(leaves)
+        best = np.zeros((len(p), len(leaves)), np.float32)
+        for share in _NEARER:
+            c = np.clip(1 - (1 - np.clip(cosine, 0, 1)) * share, 0, 1)
+            width = np.sqrt(np.maximum(1e-9, 1 - c * c))
+            out = np.ones((len(p), len(leaves)), np.float32)
+            for a in range(p.shape[1]):
+                bounded = np.isfinite(lo[:, a]) | np.isfinite(hi[:, a])
+                if bounded.any():
+                    mid = (c * p[:, a])[:, None]
+                    z = lambda edge: np.interp((edge[None, bounded] - mid) / width[:, None], _AT, _CDF, left=0, right=1)
+                    out[:, bounded] *= (z(hi[:, a]) - z(lo[:, a])).astype(np.float32)
+            best = np.maximum(best, out)
+        best[cosine <= 0] = 1
+        return best
+
+    def likely(self, p: np.ndarray, cosine: np.ndarray, tail: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf) of the leaves to visit, and for each query the smallest chance among them.
+
+        Likeliest leaves come first, until those left out hold less than `tail` in all, at each of the
+        distances in _NEARER. Every leaf for queries whose cosine isn't above 0.
+        """
+        floor = np.full(len(p), np.inf)
+        qs, leaves = [], []
+        least = tail / (8 << self.depth)
+        for share in _NEARER:
+            c = np.where(cosine > 0, 1 - (1 - np.clip(cosine, 0, 1)) * share, 0.0)
+            width = np.sqrt(np.maximum(1e-9, 1 - c * c))
+            q, node, chance = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones(len(p))
+            bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for level, cut in enumerate(self.cuts):
+                a = level % p.shape[1]
+                z = np.interp((cut[node] - c[q] * p[q, a]) / width[q], _AT, _CDF)
+                low, high = bounds.get(a, (np.zeros(len(q)), np.ones(len(q))))
+                z = np.clip(z, low, high)
+                inside = np.maximum(high - low, 1e-300)
+                keep_low, keep_high = chance * (z - low) / inside, chance * (high - z) / inside
+                bounds[a] = (low, z), (z, high)  # of the lower and of the upper half
+                k0 = (keep_low >= least) | (cosine[q] <= 0)
+                k1 = (keep_high >= least) | (cosine[q] <= 0)
+                for axis, b in list(bounds.items()):
+                    if axis == a:
+                        bounds[axis] = np.concatenate([b[0][0][k0], b[1][0][k1]]), np.concatenate([b[0][1][k0], b[1][1][k1]])
+                    else:
+                        bounds[axis] = np.concatenate([b[0][k0], b[0][k1]]), np.concatenate([b[1][k0], b[1][k1]])
+                q, node, chance = np.concatenate([q[k0], q[k1]]), np.concatenate([node[k0] * 2, node[k1] * 2 + 1]), np.concatenate([keep_low[k0], keep_high[k1]])
+            order = np.lexsort((-chance, q))
+            q, node, chance = q[order], node[order], chance[order]
+            before = np.cumsum(chance) - chance
+            first = np.searchsorted(q, np.arange(len(p)))
+            before -= before[np.minimum(first, len(before) - 1)][q]
+            keep = (before < 1 - tail * 7 / 8) | (cosine[q] <= 0)
+            qs.append(q[keep])
+            leaves.append(node[keep])
+            np.minimum.at(floor, q[keep], chance[keep])
+        both = np.unique(np.concatenate(qs) << self.depth | np.concatenate(leaves))
+        return both >> self.depth, both & ((1 << self.depth) - 1), np.where(cosine > 0, floor, 0.0)
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors with one byte a number, and each vector's scale."""
+    top = np.maximum(np.abs(x).max(axis=1), 1e-30)
+    return np.round(x * (127 / top)[:, None]).astype(np.int8), (top / 127).astype(np.float32)
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int64) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def _matrix(blobs: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    a = blobs.combine_chunks() if isinstance(blobs, pa.ChunkedArray) else blobs
+    if isinstance(a, pa.ChunkedArray):
+        a = a.chunk(0) if a.num_chunks else pa.array([], pa.binary())
+    if not len(a):
+        return np.zeros((0, 1), kind)
+    _, places, data = a.buffers()
+    at = np.frombuffer(places, np.int64 if pa.types.is_large_binary(a.type) else np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(a), -1)
+
+
+class Search:
+    """The best so far of some queries, against one leaf after another."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, p: np.ndarray, bound: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.p, self.k = ids, x, p, k
+        self.norm = (p * p).sum(axis=1)
+        self.least = bound
+        self.best = np.full((len(ids), k), -2.0, np.float32)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.quantile = chi_square_quantile(p.shape[1], POINT_TAIL)
+
+    @property
+    def bound(self) -> np.ndarray:
+        """What a neighbour must reach to count."""
+        return np.maximum(self.least, self.best[:, -1])
+
+    def visit(self, who: np.ndarray, ids: np.ndarray, x: np.ndarray, p: np.ndarray, block: int = 1024) -> None:
+        """Compare the queries `who` with the vectors of one leaf."""
+        norm = (p * p).sum(axis=1)
+        for a in range(0, len(who), block):
+            w = who[a : a + block]
+            bound = self.bound[w] - SLACK
+            if np.median(bound) > 0.75:  # few pass the test: it costs M products a pair, and verification is rare
+                far = self.norm[w][:, None] + norm[None, :] - 2 * (self.p[w] @ p.T)
+                i, j = np.nonzero(far <= ((2 - 2 * bound) * self.quantile)[:, None])
+                s = np.einsum("ij,ij->i", self.x[w[i]], x[j])
+                ok = (s >= bound[i]) & (self.ids[w[i]] != ids[j])
+                i, j, s = i[ok], j[ok], s[ok]
+            else:  # nearly all would pass: one product verifies all
+                every = self.x[w] @ x.T
+                every[self.ids[w][:, None] == ids[None, :]] = -2
+                if len(ids) > self.k:
+                    bound = np.maximum(bound, np.partition(every, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - SLACK)
+                i, j = np.nonzero(every >= bound[:, None])
+                s = every[i, j]
+            if not len(i):
+                continue
+            self.found.append((w[i], ids[j], s.astype(np.float32)))
+            order = np.lexsort((-s, i))
+            i, s = i[order], s[order]
+            at = np.arange(len(i)) - np.searchsorted(i, i)
+            top = at < self.k
+            fresh = np.full((len(w), self.k), -2.0, np.float32)
+            fresh[i[top], at[top]] = s[top]
+            self.best[w] = -np.sort(-np.concatenate([self.best[w], fresh], axis=1), axis=1)[:, : self.k]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, similarity) of all that may still be among the k best."""
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        q, b, s = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        keep = s >= self.bound[q] - SLACK
+        return q[keep], b[keep], s[keep]
+
+
+def unit_vectors(records: DataFrame, id: str, vector: str) -> tuple[DataFrame, int]:
+    """id and vec (float32 bytes of length 1), and how many numbers each has. Null vectors, null ids, vectors of zero and vectors with a null or a number that is not finite are left out; short ones are filled up with zeros."""
     rows = records.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null)")
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
 
@@ -144,12 +261,20 @@ def unit_vectors(records: DataFrame, id: str, vector: str) -> DataFrame:
             keep = np.isfinite(big) & (big > 0)
             x = x[keep] / big[keep, None]
             x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), _blobs(x)], names=["id", "vec"])
+
+    return rows.mapInArrow(op, "id bigint, vec binary"), dims
 
-    return rows.mapInArrow(op, "id bigint, vec binary")
 
+def _cells(rows: DataFrame, by: str, sizes: DataFrame, other: str) -> DataFrame:
+    """`rows` with their cell: a group's rows are dealt over the parts of their own side and repeated for each part of the other side."""
+    own, copy = F.pmod(F.xxhash64("rep"), F.col(by)).cast("int"), F.col("copy")
+    part, ask = (own, copy) if by == "parts" else (copy, own)
+    spread_out = rows.join(sizes, "group").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    return spread_out.withColumn("cell", F.struct("group", part.alias("part"), ask.alias("ask"))).drop("parts", "asked", "copy", "group")
 
-def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None, id: str = "id", vector: str = "embedding", leaf: int = LEAF, sample: int = SAMPLE, tail: float = TAIL, seed: int = 11) -> DataFrame:
+
+def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None, id: str = "id", vector: str = "embedding", leaf: int = LEAF, sample: int = SAMPLE, tail: float = TAIL, axes: int = AXES, seed: int = 11, max_depth: int = 20) -> DataFrame:
     """For each vector the k others with the largest cosine; with `min_cosine`, only those that reach it.
 
     Result: id, neighbour, cosine (of the full vectors), place (1 to k). Equal cosines are ordered by
@@ -161,87 +286,158 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
     Equal vectors are collapsed first: k+1 of them stand for all, as no more can be among anybody's k
     best, so a third of all rows with one vector costs no more than a few. The tree is fitted on about
     `sample` vectors; every vector is indexed. A neighbour is missed with a chance of about `tail` at
-    most, whatever the number of rows.
+    most, whatever the number of rows, and less where the neighbour finds the vector in turn. Cuts follow
+    the sample's density, so a tight cluster has leaves of its own; a group that still becomes too
+    large is dealt over several tasks, on the side of the vectors and on that of the queries.
     """
     spark = records.sparkSession
-    base = unit_vectors(records, id, vector).withColumn("key", F.md5("vec"))
-    reps = staged(base.groupBy("key").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")), "vectors")
-    ids = staged(base.select("key", "id").distinct(), "ids")
-    n = reps.count()
     schema = "id bigint, neighbour bigint, cosine double, place int"
-    if not n:
-        return spark.createDataFrame([], schema)
-    share = min(1.0, sample / n)
-    some = reps.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 24)) < int(share * (1 << 24))).select("vec").limit(2 * sample).toPandas()["vec"]
-    fitted = np.stack([np.frombuffer(v, np.float32) for v in some]) if len(some) else np.zeros((0, 1), np.float32)
-    if not len(fitted):
-        fitted = np.frombuffer(reps.select("vec").first()[0], np.float32)[None, :]
-    tree = spark.sparkContext.broadcast(Tree(fitted, n, leaf, seed))
-    least = -1.0 if min_cosine is None else min_cosine
+    unit, dims = unit_vectors(records, id, vector)
+    n = records.count()
+    share = min(1.0, sample / max(n, 1))
+    chosen = records.where(F.pmod(F.xxhash64(F.col(f"`{id}`").cast("long"), F.lit(seed)), F.lit(1 << 24)) < int(share * (1 << 24)))
+    some = unit_vectors(chosen, id, vector)[0].limit(2 * sample).toPandas()["vec"]
+    fitted = np.stack([np.frombuffer(v, np.float32) for v in some]) if len(some) else np.zeros((0, dims), np.float32)
+    if len(fitted) and fitted.shape[1] < dims:
+        fitted = np.pad(fitted, ((0, 0), (0, dims - fitted.shape[1])))
+    fit = Tree(fitted, n, leaf, axes, seed, max_depth)
+    tree, least = spark.sparkContext.broadcast(fit), -1.0 if min_cosine is None else min_cosine
+    bits, group = fit.group_bits, lambda c: F.shiftright(c, fit.group_bits).alias("group")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tree.value.leaf_of(tree.value.project(x))), pa.array([c.tobytes() for c in encode(x)], pa.binary())], names=["rep", "leaf", "code"])
-
-    def home(group: pa.Table) -> pa.Table:
-        x, own = _decode(group["code"]), np.asarray(group["rep"])
-        kth, near = np.full(len(own), least), [[] for _ in own]
-        for first, i, j, s, low in _best(x, x, own, own, k, np.full(len(own), least)):
-            kth[first : first + len(low)] = low
-            for a, c, v in zip(i.tolist(), j.tolist(), s.tolist(), strict=True):
-                near[a].append((int(own[c]), v))
-        return group.append_column("kth", pa.array(kth, pa.float64())).append_column("near", pa.array([[{"b": b, "sim": v} for b, v in r] for r in near], pa.list_(pa.struct([("b", pa.int64()), ("sim", pa.float32())]))))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            size = max(1, _ROUTES >> len(tree.value.cuts))
-            for a in range(0, b.num_rows, size):
-                part = b.slice(a, size)
-                q, to = tree.value.likely(tree.value.project(_decode(part.column("code"))), np.asarray(part.column("kth")) - SLACK, tail)
-                away = to != np.asarray(part.column("leaf"))[q]
-                q = pa.array(q[away])
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(q), pa.array(to[away]), part.column("code").take(q), part.column("kth").take(q)], names=["rep", "leaf", "code", "kth"])
-
-    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, sim = [], [], []
-        if left.num_rows and right.num_rows:
-            q, own, points, other = _decode(left["code"]), np.asarray(left["rep"]), _decode(right["code"]), np.asarray(right["rep"])
-            for _, i, j, s, _ in _best(q, points, own, other, k, np.asarray(left["kth"])):
-                a.append(own[i])
-                b.append(other[j])
-                sim.append(s)
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-        return pa.table([cat(a, pa.int64()), cat(b, pa.int64()), cat(sim, pa.float32())], names=["a", "b", "sim"])
-
-    placed = reps.select("rep", "vec").mapInArrow(place, _CODE)
-    homed = staged(placed.groupBy("leaf").applyInArrow(home, _CODE + ", kth double, near array<struct<b: bigint, sim: float>>"), "homed")
-    queries = homed.select("rep", "leaf", "code", "kth").mapInArrow(route, _CODE + ", kth double")
-    far = queries.groupBy("leaf").cogroup(homed.select("rep", "leaf", "code").groupBy("leaf")).applyInArrow(visit, "a bigint, b bigint, sim float")
+                x = _matrix(b.column(1), np.float32)
+                code, scale = encode(x)
+                at = tree.value.leaf_of(tree.value.project(code * scale[:, None]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), _blobs(code), pa.array(scale)], names=["id", "vec", "leaf", "code", "scale"])
+
+    base = staged(unit.mapInArrow(place, "id bigint, vec binary, leaf int, code binary, scale float").withColumn("key", F.md5("vec")), "vectors")
+    ids = base.select("key", "id").distinct()
+    placed = staged(base.groupBy("key").agg(F.min("id").alias("rep"), F.first("leaf").alias("leaf"), F.first("code").alias("code"), F.first("scale").alias("scale")).select("key", "rep", "leaf", "code", "scale"), "placed")
+    # Parts of a group's vectors, and of the queries that come to it: mostly one of each.
+    plan = max(leaf << bits, 1)
+    sized = staged(placed.groupBy(group(F.col("leaf"))).agg(F.ceil(F.count("*") / (2 * plan)).cast("int").alias("parts"), F.ceil(F.count("*") / (4 * plan)).cast("int").alias("asked")), "groups")
+
+    def run(table: pa.Table, points: pa.Table, at_home: bool) -> tuple[Search, np.ndarray, np.ndarray]:
+        """Search for the queries of `table` in one group; also the projections and, at home, the floors."""
+        t = tree.value
+        x = _matrix(table["code"], np.int8).astype(np.float32) * np.asarray(table["scale"], dtype=np.float32)[:, None]
+        y = _matrix(points["code"], np.int8).astype(np.float32) * np.asarray(points["scale"], dtype=np.float32)[:, None]
+        px, py, other, where = t.project(x), t.project(y), np.asarray(points["rep"]), np.asarray(points["leaf"])
+        order = np.argsort(where, kind="stable")
+        leaves, begin = np.unique(where[order], return_index=True)
+        end = np.append(begin[1:], len(order))
+        bound = np.full(table.num_rows, least, np.float32) if at_home else np.asarray(table["bound"], dtype=np.float32)
+        s = Search(np.asarray(table["rep"]), x, px, bound, k)
+        home = np.asarray(table["leaf"]) if at_home else np.full(table.num_rows, -1)
+        for a, b, own in zip(begin, end, leaves, strict=True):
+            who = np.flatnonzero(home == own)
+            if len(who):
+                s.visit(who, other[order[a:b]], y[order[a:b]], py[order[a:b]])
+        floor = _floors(t, px, s.bound, tail) if at_home else np.asarray(table["floor"], dtype=np.float64)
+        for a in range(0, table.num_rows, step := max(1, _ROUTES // max(1, len(leaves)))):
+            rows = np.arange(a, min(a + step, table.num_rows))
+            chance = t.chances(px[rows], s.bound[rows] - SLACK, leaves)
+            # The likeliest leaves of the group first; what they find tightens the test for the rest.
+            for k_leaf in np.argsort(-chance.sum(axis=0)):
+                want = (home[rows] != leaves[k_leaf]) & (chance[:, k_leaf] >= floor[rows])
+                who = rows[want]
+                tighter = who[s.best[who, -1] > s.least[who]]
+                if len(tighter):
+                    again = t.chances(px[tighter], s.bound[tighter] - SLACK, leaves[k_leaf : k_leaf + 1])[:, 0]
+                    who = np.setdiff1d(who, tighter[again < floor[tighter]], assume_unique=True)
+                if len(who):
+                    at = order[begin[k_leaf] : end[k_leaf]]
+                    s.visit(who, other[at], y[at], py[at])
+        return s, px, floor
+
+    def home(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = tree.value
+        if not left.num_rows or not right.num_rows:
+            return _homed([], np.zeros((0, 1), np.int8), [], [], [], [], [])
+        s, px, _ = run(left, right, True)
+        q, b, sim = s.edges()
+        own = np.asarray(left["leaf"]) >> bits
+        # Where a group has several parts, a query goes on to other groups from the first one only.
+        first = np.asarray(left["first"])
+        groups, floors = [np.zeros(0, np.int64)] * left.num_rows, np.zeros(left.num_rows)
+        for a in range(0, left.num_rows, step := max(1, _ROUTES >> t.depth)):
+            r = np.arange(a, min(a + step, left.num_rows))
+            who, to, floor = t.likely(px[r], s.bound[r] - SLACK, tail)
+            floors[r] = floor
+            pair = np.unique(who << t.depth | (to >> bits))
+            who, to = pair >> t.depth, pair & ((1 << t.depth) - 1)
+            away = (to != own[r][who]) & first[r][who]
+            who, to = who[away], to[away]
+            cut = np.searchsorted(who, np.arange(len(r) + 1))
+            for i in range(len(r)):
+                groups[a + i] = to[cut[i] : cut[i + 1]]
+        order = np.argsort(q, kind="stable")
+        cut = np.searchsorted(q[order], np.arange(left.num_rows + 1))
+        return _homed(s.ids, _matrix(left["code"], np.int8), np.asarray(left["scale"]), s.bound, floors, groups, b[order], sim[order], cut)
+
+    def away(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=["a", "b", "sim"])
+        s, _, _ = run(left, right, False)
+        q, b, sim = s.edges()
+        return pa.table([pa.array(s.ids[q]), pa.array(b), pa.array(sim)], names=["a", "b", "sim"])
+
+    points = placed.select("rep", "leaf", "code", "scale", group(F.col("leaf")))
+    points = points.toDF(*points.columns)
+    parts = max(spread(spark), 2 * fit.groups)
+    side = lambda rows, by, sizes: _cells(rows, by, sizes, "asked" if by == "parts" else "parts").repartition(parts, "cell").groupBy("cell")
+    # `first` holds for the copy of a query that meets the first part of its group.
+    asked = _cells(placed.select("rep", "leaf", "code", "scale", group(F.col("leaf"))), "asked", sized, "parts").withColumn("first", F.expr("cell.part = 0"))
+    homed = staged(asked.repartition(parts, "cell").groupBy("cell").cogroup(side(points, "parts", sized)).applyInArrow(home, _HOMED), "homed")
+    queries = homed.where("size(groups) > 0").select("rep", "code", "scale", "bound", "floor", F.explode("groups").alias("group"))
+    load = queries.groupBy("group").agg(F.ceil(F.count("*") / (4 * plan)).cast("int").alias("asked"))
+    loads = staged(sized.select("group", "parts").join(load, "group"), "loads")
+    far = side(queries, "asked", loads).cogroup(side(points, "parts", loads)).applyInArrow(away, "a bigint, b bigint, sim float")
     edges = homed.select(F.col("rep").alias("a"), F.explode("near").alias("x")).select("a", "x.b", "x.sim").unionAll(far)
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    by = Window.partitionBy("a").orderBy(F.desc("sim"))
-    kth_sim = F.min(F.when(F.col("r") <= k, F.col("sim"))).over(Window.partitionBy("a"))
-    near = both.withColumn("r", F.row_number().over(by)).withColumn("kth", kth_sim).where(F.col("sim") >= F.col("kth") - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _rank(_verified(near, reps, least), ids, reps, k).select("id", "neighbour", "cosine", "place")
+    both = staged(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim")), "edges")
+    # The k best of each vector set its bound; rows beyond k leave before the shuffle, so a vector that is everybody's neighbour is no hot key.
+    top = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim")))).where(F.col("r") <= k)
+    kth = top.groupBy("a").agg(F.when(F.count("*") == k, F.min("sim")).otherwise(F.lit(-2.0)).alias("kth"))
+    near = both.join(kth, "a").where(F.col("sim") >= F.col("kth") - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _rank(_verified(near, base, least), ids, placed.select("key", "rep"), k).select(*(x.split()[0] for x in schema.split(", ")))
+
+
+def _floors(t: Tree, p: np.ndarray, bound: np.ndarray, tail: float) -> np.ndarray:
+    out = np.zeros(len(p))
+    for a in range(0, len(p), step := max(1, _ROUTES >> t.depth)):
+        out[a : a + step] = t.likely(p[a : a + step], bound[a : a + step] - SLACK, tail)[2]
+    return out
+
+
+_HOMED = "rep bigint, code binary, scale float, bound float, floor double, groups array<int>, near array<struct<b: bigint, sim: float>>"
+
+
+def _homed(ids, code, scale, bound, floors, groups, b, sim=(), cut=(0,)) -> pa.Table:  # noqa: ANN001
+    """Queries after their own group: what they found there and the groups they go on to."""
+    ends = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int32)
+    flat = np.concatenate(groups) if len(groups) else np.zeros(0)
+    near = pa.ListArray.from_arrays(pa.array(np.asarray(cut, np.int32)), pa.StructArray.from_arrays([pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(sim, np.float32))], names=["b", "sim"]))
+    return pa.table(
+        [pa.array(np.asarray(ids, np.int64)), _blobs(code), pa.array(np.asarray(scale, np.float32)), pa.array(np.asarray(bound, np.float32)), pa.array(np.asarray(floors, float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))), near],
+        names=["rep", "code", "scale", "bound", "floor", "groups", "near"],
+    )
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
     """a, b and the cosine of their full vectors, where it reaches `least`."""
-    va, vb = reps.select(F.col("rep").alias("a"), F.col("vec").alias("va")), reps.select(F.col("rep").alias("b"), F.col("vec").alias("vb"))
+    va, vb = base.select(F.col("id").alias("a"), F.col("vec").alias("va")), base.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                l, r = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.float32).reshape(x.num_rows, -1).astype(np.float64) for c in ("va", "vb"))
+                l, r = (_matrix(x.column(c), np.float32).astype(np.float64) for c in ("va", "vb"))
                 cos = (l * r).sum(axis=1) / np.sqrt((l * l).sum(axis=1) * (r * r).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(np.clip(cos, -1, 1))], names=["a", "b", "cosine"])
 
     joined = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
-    return joined.mapInArrow(dot, "a bigint, b bigint, cosine double").where(F.col("cosine") >= least)
+    return joined.mapInArrow(dot, "a bigint, b bigint, cosine double").where(F.col("cosine") >= least).dropDuplicates(["a", "b"])
 
 
 def _rank(pairs: DataFrame, ids: DataFrame, reps: DataFrame, k: int) -> DataFrame:
