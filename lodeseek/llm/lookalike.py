@@ -29,14 +29,23 @@ _CYRILLIC = "аеорсухіјѕԁһԛԝӏ" + "АВЕКМНОРСТУХІЈЅԌ
 _CYRILLIC_LATIN = "aeopcyxijsdhqwl" + "ABEKMHOPCTYXIJSGQWY"
 _GREEK = "ονϲϳ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ"
 _GREEK_LATIN = "ovcj" + "ABEZHIKMNOPTYXCJ"
-_OTHER = "օՕɡ"
-_OTHER_LATIN = "oOg"
+_OTHER = "օՕոհցՍɡ"
+_OTHER_LATIN = "oOnhgUg"
+_COPTIC = "ⲟⲣⲥⲭⲞⲢⲤⲔⲎⲘⲚⲦⲂⲬⲨⲒ"
+_COPTIC_LATIN = "opcxOPCKHMNTBXYI"
+_CHEROKEE = "ᎪᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᏴ"
+_CHEROKEE_LATIN = "ACDEGHJKLMPRSTVWZB"
+_LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+_LISU_LATIN = "BPDTGKJCZFMNLSRVHWXYAEIOU"
 # Signs drawn like an ASCII one.
 _HYPHENS = "‐‑"
 _INVISIBLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 # Ranges whose compatibility decomposition is drawn like the sign itself.
 _LIKE_THEIR_PARTS = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
-_DRAWN_ALIKE = dict(zip(_CYRILLIC + _GREEK + _OTHER + _HYPHENS, _CYRILLIC_LATIN + _GREEK_LATIN + _OTHER_LATIN + "--", strict=True))
+_DRAWN_ALIKE = dict(zip(_CYRILLIC + _GREEK + _OTHER + _COPTIC + _CHEROKEE + _LISU + _HYPHENS, _CYRILLIC_LATIN + _GREEK_LATIN + _OTHER_LATIN + _COPTIC_LATIN + _CHEROKEE_LATIN + _LISU_LATIN + "--", strict=True))
+# Ranges of selectors and tags that nothing is drawn for. Tags after a flag choose the flag and stay.
+_UNDRAWN = ((0xFE00, 0xFE0D), (0xE0001, 0xE007F), (0xE0100, 0xE01EF))
+_FLAG, _TAGS = 0x1F3F4, (0xE0020, 0xE007F)
 
 _TOP = 0x110000
 _ZWNJ, _ZWJ, _CR, _LF = 0x200C, 0x200D, 0x0D, 0x0A
@@ -55,13 +64,14 @@ class _Tables:
         extra: list[int] = []
         pairs: list[tuple[int, int, int]] = []
         invisible = set(_INVISIBLE)
-        for c in range(0x30000):
+        undrawn = {c for a, b in _UNDRAWN for c in range(a, b + 1)}
+        for c in (*range(0x30000), *range(0xE0000, 0xE0200)):
             if 0xD800 <= c < 0xE000 or _S0 <= c < _S0 + 11172:
                 continue
             ch = chr(c)
             self.rank[c] = unicodedata.combining(ch)
             rule = unicodedata.decomposition(ch)
-            if ch in invisible:
+            if ch in invisible or c in undrawn:
                 parts = ""
             elif unicodedata.category(ch) == "Zs":
                 parts = " "
@@ -188,6 +198,12 @@ def _fold_all(cp: np.ndarray, offsets: np.ndarray, t: _Tables) -> tuple[np.ndarr
         inside = (j > 0) & (j + 1 < len(cp))
         seen = inside & t.joins[cp[np.maximum(j - 1, 0)]] & t.joins[cp[np.minimum(j + 1, len(cp) - 1)]]
         size[j[seen]], at[j[seen]] = 1, cp[j[seen]]
+    tags = np.flatnonzero((cp >= _TAGS[0]) & (cp <= _TAGS[1]))
+    if len(tags):
+        begins = np.concatenate([[True], np.diff(tags) > 1])
+        before = tags[begins] - 1
+        of_flag = ((before >= 0) & (cp[np.maximum(before, 0)] == _FLAG))[np.cumsum(begins) - 1]
+        size[tags[of_flag]], at[tags[of_flag]] = 1, cp[tags[of_flag]]
     r = np.flatnonzero(cp[:-1] == _CR)
     size[r[cp[r + 1] == _LF]] = 0
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -223,16 +239,43 @@ def fold_column(df: DataFrame, text: str, out: str) -> DataFrame:
     return kept.mapInArrow(run, kept.schema)
 
 
+_PART = 1024
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id and the digests of each document's text (raw) and of its one form (form), once."""
+    raw = docs.select(F.col(f"`{doc_id}`").alias("id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("raw"), F.col(f"`{text}`").alias("body")).where("id is not null and body is not null")
+    return staged(fold_column(raw, "body", "form").select("id", "raw", F.md5(F.col("form").cast("binary")).alias("form")), "lookalike").distinct()
+
+
+def lookalike_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: its class of texts that look the same.
+
+    Result: doc_id, class_id (the smallest id of the class), members (documents of the class), texts
+    (different texts among them) and links (documents of the class whose text differs in code points).
+    Null texts and null ids are left out, repeated rows count once; an empty table gives an empty
+    result. Copies are counted before classes are, so a text with a third of all rows is one row.
+    """
+    keyed = _keyed(docs, doc_id, text)
+    texts = keyed.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = texts.groupBy("form").agg(F.min("least").alias("class_id"), F.sum("n").alias("members"), F.count("*").alias("texts"))
+    counted = texts.select("form", "raw", "n").join(classes, "form")
+    return keyed.join(counted, ["form", "raw"]).select(F.col("id").alias(doc_id), "class_id", "members", "texts", (F.col("members") - F.col("n")).alias("links"))
+
+
 def lookalike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of documents whose texts look the same but differ in code points.
 
     Result: doc_id_a < doc_id_b, once each. Equal texts make no pair, null texts and null ids are
     left out, repeated rows count once; two empty texts are equal. An empty table gives an empty
-    result. Groups that hold only copies of one text are dropped before rows are paired.
+    result. Classes that hold only copies of one text are dropped before rows are paired. The pairs of a
+    large class are as many as its definition asks for, but no task makes them all: its documents are
+    dealt over parts, each of which meets the class by itself.
     """
-    raw = docs.select(F.col(f"`{doc_id}`").alias("id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("raw"), F.col(f"`{text}`").alias("body")).where("id is not null and body is not null")
-    keyed = staged(fold_column(raw, "body", "form").select("id", "raw", F.md5(F.col("form").cast("binary")).alias("form")), "lookalike")
-    mixed = keyed.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    few = keyed.join(mixed, "form", "left_semi").distinct()
-    a, b = few.alias("a"), few.alias("b")
-    return a.join(b, F.expr("a.form = b.form and a.id < b.id and a.raw <> b.raw")).select(F.col("a.id").alias("doc_id_a"), F.col("b.id").alias("doc_id_b")).distinct()
+    keyed = _keyed(docs, doc_id, text)
+    texts = keyed.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("form").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts > 1").select("form", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
+    few = staged(keyed.join(mixed, "form"), "alike")
+    a = few.select("form", F.col("id").alias("doc_id_a"), F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = few.select("form", F.col("id").alias("doc_id_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["form", "part"]).where("doc_id_a < doc_id_b and raw_a <> raw_b").select("doc_id_a", "doc_id_b").distinct()

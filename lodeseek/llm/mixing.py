@@ -11,29 +11,16 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.vocabulary import DEFAULT
+from lodeseek.llm.vocabulary import DEFAULT, encoding, shipped
 from lodeseek.session import staged
 
-MAX_PATTERNS, BUCKETS = 50_000, 4096
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@lru_cache(maxsize=2)
-def _encoding(path: str):  # noqa: ANN202
-    import base64
-
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+MAX_PATTERNS, BUCKETS = 1_000_000, 4096
 
 
 def clean_source(source: Column) -> Column:
@@ -41,22 +28,71 @@ def clean_source(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_")
 
 
-def token_counts(docs: DataFrame, doc_id: str, text: str, source: str, vocabulary: str) -> DataFrame:
-    """id, source (one spelling) and tokens of each document and source, once. Null texts have no tokens."""
+def token_counts(docs: DataFrame, doc_id: str, text: str, source: str, vocabulary: str | None) -> DataFrame:
+    """id, source (one spelling) and tokens of each document and source, once; code points without a vocabulary. Null texts have none."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), clean_source(F.col(f"`{source}`")).alias("source"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).where("id is not null")
-    kind = dict(rows.dtypes)["id"]
-
-    def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(vocabulary)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "source": b["source"], "tokens": [len(enc.encode_ordinary(t)) for t in b["t"]]})
-
-    return rows.mapInPandas(op, f"id {kind}, source string, tokens bigint").groupBy("id", "source").agg(F.max("tokens").alias("tokens"))
-
-
-class Arc(NamedTuple):
-    head: int
-    back: int  # place of the reverse arc at the head
+    if vocabulary is None:
+        sized = rows.select("id", "source", F.length("t").cast("bigint").alias("tokens"))
+    else:
+        kind, ranks = dict(rows.dtypes)["id"], shipped(docs.sparkSession, vocabulary)
+
+        def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            enc = encoding(ranks.value)
+            for b in batches:
+                yield pd.DataFrame({"id": b["id"], "source": b["source"], "tokens": [len(enc.encode_ordinary(t)) for t in b["t"]]})
+
+        sized = rows.mapInPandas(op, f"id {kind}, source string, tokens bigint")
+    return sized.groupBy("id", "source").agg(F.max("tokens").alias("tokens"))
+
+
+class _Network:
+    """A flow network with Dinic's algorithm: levels by breadth, then blocking flow by depth."""
+
+    def __init__(self, nodes: int) -> None:
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.head: list[int] = []
+        self.cap: list[float] = []
+
+    def arc(self, a: int, b: int, cap: float) -> int:
+        for x, y, c in ((a, b, cap), (b, a, 0.0)):
+            self.out[x].append(len(self.head))
+            self.head.append(y)
+            self.cap.append(c)
+        return len(self.head) - 2
+
+    def push(self, source: int, sink: int, eps: float = 1e-6) -> None:
+        """Send as much as can be sent."""
+        head, cap, out = self.head, self.cap, self.out
+        while True:
+            level = [-1] * len(out)
+            level[source], queue = 0, deque([source])
+            while queue:
+                x = queue.popleft()
+                for e in out[x]:
+                    if cap[e] > eps and level[head[e]] < 0:
+                        level[head[e]] = level[x] + 1
+                        queue.append(head[e])
+            if level[sink] < 0:
+                return
+            at, path, x = [0] * len(out), [], source
+            while True:
+                if x == sink:
+                    least = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= least
+                        cap[e ^ 1] += least
+                    path, x = [], source
+                    continue
+                while at[x] < len(out[x]) and not (cap[out[x][at[x]]] > eps and level[head[out[x][at[x]]]] == level[x] + 1):
+                    at[x] += 1
+                if at[x] < len(out[x]):
+                    path.append(out[x][at[x]])
+                    x = head[path[-1]]
+                elif path:
+                    x = head[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
 
 
 def min_cost_flow(supply: list[int], reach: list[dict[int, int]], quota: list[float], layers: list[int]) -> list[dict[int, float]]:
@@ -64,58 +100,20 @@ def min_cost_flow(supply: list[int], reach: list[dict[int, int]], quota: list[fl
 
     Pattern p has supply[p] tokens, usable layers[p] times; the j-th time costs j*j a token. It reaches
     source s with at most reach[p][s] tokens; source s takes at most quota[s]. As much as possible is
-    sent, as cheaply as possible (successive shortest paths).
+    sent, as cheaply as possible: only the arcs that feed a pattern cost anything, and a path from the
+    feed never comes back to it, so cheapest paths first means one maximum flow for each j in turn.
     """
     n, m = len(supply), len(quota)
-    source, sink = n + m, n + m + 1
-    head: list[int] = []
-    cap: list[float] = []
-    cost: list[float] = []
-    out: list[list[int]] = [[] for _ in range(n + m + 2)]
-
-    def add(a: int, b: int, c: float, w: float) -> None:
-        for x, y, cc, ww in ((a, b, c, w), (b, a, 0.0, -w)):
-            out[x].append(len(head))
-            head.append(y)
-            cap.append(cc)
-            cost.append(ww)
-
-    for p in range(n):
-        for j in range(1, layers[p] + 1):
-            add(source, p, float(supply[p]), float(j * j))
-        for s, c in reach[p].items():
-            add(p, n + s, float(c), 0.0)
+    source, sink, net = n + m, n + m + 1, _Network(n + m + 2)
+    to = [{s: net.arc(p, n + s, float(c)) for s, c in reach[p].items()} for p in range(n)]
     for s in range(m):
-        add(n + s, sink, quota[s], 0.0)
-    eps = 1e-6
-    while True:
-        dist, via, queued = [float("inf")] * (n + m + 2), [-1] * (n + m + 2), [False] * (n + m + 2)
-        dist[source], queue = 0.0, deque([source])
-        while queue:
-            x = queue.popleft()
-            queued[x] = False
-            for e in out[x]:
-                if cap[e] > eps and dist[x] + cost[e] < dist[head[e]] - 1e-9:
-                    dist[head[e]], via[head[e]] = dist[x] + cost[e], e
-                    if not queued[head[e]]:
-                        queue.append(head[e])
-                        queued[head[e]] = True
-        if via[sink] < 0:
-            break
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = head[via[x] ^ 1]
-        least = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= least
-            cap[e ^ 1] += least
-    flow: list[dict[int, float]] = [{} for _ in range(n)]
-    for p in range(n):
-        for e in out[p]:
-            if e % 2 == 0 and cap[e ^ 1] > eps:
-                flow[p][head[e] - n] = cap[e ^ 1]
-    return flow
+        net.arc(n + s, sink, quota[s])
+    for j in range(1, max(layers, default=0) + 1):
+        for p in range(n):
+            if layers[p] >= j:
+                net.arc(source, p, float(supply[p]))
+        net.push(source, sink)
+    return [{s: net.cap[e ^ 1] for s, e in arcs.items() if net.cap[e ^ 1] > 1e-6} for arcs in to]
 
 
 class Mix(NamedTuple):
@@ -124,22 +122,28 @@ class Mix(NamedTuple):
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", target_source: str = "source", target_share: str = "target_share", max_repeats: str = "max_repeats", size: int | None = None, seed: int = 7, vocabulary: str = DEFAULT, max_patterns: int = MAX_PATTERNS
+    docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", target_source: str = "source", target_share: str = "target_share", max_repeats: str = "max_repeats", size: int | None = None, seed: int = 7, vocabulary: str | None = DEFAULT, rebalance: bool = False, max_patterns: int = MAX_PATTERNS
 ) -> Mix:
     """A mix of `size` tokens (as many as all documents have, unless given) in which each source has its target share.
 
     selection: doc_id, source, times (how often the document is used for that source), tokens.
     report, a row for each target: source (as in `targets`), target_share, max_repeats, documents,
     target_tokens, available_tokens, capacity_tokens (all documents `max_repeats` times), planned_tokens,
-    short (capacity under target) and, once the selection is read, actual_tokens and actual_share.
+    short (the flow can't fill the target, and neither could all the source's documents `max_repeats`
+    times by themselves) and, once the selection is read, actual_tokens, actual_share (of the mix) and
+    share_of_wanted (of `size`). Sizes are tokens of `vocabulary`, or code points if it is None.
+
+    Where sources fall short the mix is smaller than `size`, and the others keep their share of `size`;
+    with `rebalance` they fill what is missing instead, in proportion to their shares, as far as their
+    documents reach.
 
     A document of several sources counts for each; it is used at most the largest `max_repeats` of its
     sources in all. Documents of a source without a target, or without a source, only count towards
     the total. Repeated rows count once; null ids are left out, null texts have no tokens; targets with
     null share or repeats get none. Empty tables give an empty selection and zero figures.
 
-    The driver holds one row for each set of sources that occurs and one for each target, at most
-    `max_patterns` of either (an error beyond).
+    The driver holds one row for each set of sources that occurs and one for each target, not one for
+    each document; more than `max_patterns` of either are an error, nothing is left out.
     """
     spark = docs.sparkSession
     counts = staged(token_counts(docs, doc_id, text, source, vocabulary), "tokens")
@@ -156,12 +160,22 @@ def mix_sources(
     total = size if size is not None else sum(int(r.tokens or 0) for r in sets)
     sets = [r for r in sets if r.pattern]
     quota = [w[2] * total for w in wanted]
-    flow = min_cost_flow([int(r.tokens) for r in sets], [{s: int(r.tokens) * wanted[s][3] for s in r.pattern} for r in sets], quota, [max(wanted[s][3] for s in r.pattern) for r in sets])
+    supply, limit = [int(r.tokens) for r in sets], [max(wanted[s][3] for s in r.pattern) for r in sets]
+    reach = [{s: int(r.tokens) * wanted[s][3] for s in r.pattern} for r in sets]
+    flow = min_cost_flow(supply, reach, quota, limit)
+    planned = [sum(f.get(k, 0.0) for f in flow) for k in range(len(wanted))]
+    unfilled = [planned[k] < quota[k] - 1e-3 for k in range(len(wanted))]
+    room = list(quota)
+    while rebalance and (missing := total - sum(planned)) > 1 and any(open_ := [w[2] > 0 and planned[k] >= room[k] - 1e-3 for k, w in enumerate(wanted)]):
+        whole = sum(w[2] for k, w in enumerate(wanted) if open_[k])
+        room = [room[k] + missing * w[2] / whole if open_[k] else planned[k] for k, w in enumerate(wanted)]
+        flow = min_cost_flow(supply, reach, room, limit)
+        planned = [sum(f.get(k, 0.0) for f in flow) for k in range(len(wanted))]
     rows, intervals = [], []
     for k, w in enumerate(wanted):
         own = [r for r in sets if k in r.pattern]
         have = sum(int(r.tokens) for r in own)
-        rows.append((w[0], w[2], w[3], sum(int(r.docs) for r in own), quota[k], have, have * w[3], sum((f.get(k, 0.0) for f in flow), 0.0), have * w[3] < quota[k]))
+        rows.append((w[0], w[2], w[3], sum(int(r.docs) for r in own), quota[k], have, have * w[3], float(planned[k]), unfilled[k] and have * w[3] < quota[k]))
     for r, f in zip(sets, flow, strict=True):
         at, tokens = 0.0, float(r.tokens)
         for s, x in sorted(f.items()):
@@ -173,10 +187,10 @@ def mix_sources(
     report = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, documents bigint, target_tokens double, available_tokens bigint, capacity_tokens bigint, planned_tokens double, short boolean")
     selection = _select(units, spark.createDataFrame(intervals, "pattern2 array<int>, s int, passes int, at double, rest double, whole double"), seed)
     names = spark.createDataFrame([(k, w[0]) for k, w in enumerate(wanted)], "s int, source string")
-    selection = selection.join(F.broadcast(names), "s").select(F.col("id").alias(doc_id), "source", "times", (F.col("times") * F.col("tokens")).alias("tokens"))
+    selection = selection.join(names, "s").select(F.col("id").alias(doc_id), "source", "times", (F.col("times") * F.col("tokens")).alias("tokens"))
     actual = selection.groupBy(F.col("source").alias("source2")).agg(F.sum("tokens").alias("actual_tokens"))
     report = report.join(actual, F.col("source") == F.col("source2"), "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0))).drop("source2")
-    report = report.withColumn("actual_share", F.when(F.lit(total) > 0, F.col("actual_tokens") / F.greatest(F.sum("actual_tokens").over(Window.partitionBy()), F.lit(1))).otherwise(0.0))
+    report = report.withColumn("actual_share", F.when(F.lit(total) > 0, F.col("actual_tokens") / F.greatest(F.sum("actual_tokens").over(Window.partitionBy()), F.lit(1))).otherwise(0.0)).withColumn("share_of_wanted", F.col("actual_tokens") / F.lit(max(float(total), 1.0)))
     return Mix(report, selection)
 
 
@@ -190,5 +204,5 @@ def _select(units: DataFrame, intervals: DataFrame, seed: int) -> DataFrame:
     placed = lined.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, (F.col("pattern") == F.col("p3")) & (F.col("bucket") == F.col("b3")))
     placed = placed.withColumn("x", F.col("before") + F.col("inside") + F.col("tokens") / 2)
     turned = F.pmod(F.col("x") - F.col("at") + F.col("whole"), F.col("whole"))
-    joined = placed.join(F.broadcast(intervals), F.col("pattern") == F.col("pattern2"))
+    joined = placed.join(intervals, F.col("pattern") == F.col("pattern2"))
     return joined.withColumn("times", F.col("passes") + F.when(turned < F.col("rest"), 1).otherwise(0)).where("times > 0").select("id", "s", "times", "tokens")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.leakage import find_leaks
-from lodeseek.llm.lookalike import fold_column, lookalike_pairs
+from lodeseek.llm.lookalike import fold_column, lookalike_classes, lookalike_pairs
 from lodeseek.llm.mixing import mix_sources
 from lodeseek.llm.neighbours import most_similar, pairs_of
 from lodeseek.llm.provenance import not_hand_written
-from lodeseek.llm.ranking import rank_together
+from lodeseek.llm.ranking import loadings, rank_together
 from lodeseek.llm.salience import term_scores
 from lodeseek.llm.secrets import redact, secrets_in
 from lodeseek.llm.splitting import split_oversized
@@ -31,6 +31,25 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank_together(_t(spark, d, "search_matches"), "query_id", "match_id", {"similarity": 1, "score": 1})
 
 
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """search_matches with the number of lines of each match."""
+    span = F.expr("try_cast(split(lines, '-')[1] as int) - try_cast(split(lines, '-')[0] as int) + 1")
+    return _t(spark, d, "search_matches").select("query_id", "match_id", "similarity", "score", span.alias("span"))
+
+
+_THREE = {"similarity": 1, "score": 1, "span": -1}
+
+
+def p1_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """How much each of three scores counts: similarity, score, and the shortness of the match."""
+    return loadings(_spans(spark, d), "query_id", "match_id", _THREE).select("score", "direction", F.round("loading", 6).alias("loading"), "agrees")
+
+
+def p1_three(spark: SparkSession, d: str) -> DataFrame:
+    """Every match ranked by these three scores."""
+    return rank_together(_spans(spark, d), "query_id", "match_id", _THREE).select("query_id", "match_id", F.round("projection", 6).alias("projection"), "place")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return not_hand_written(_t(spark, d, "chunks")).select("file_path")
 
@@ -49,6 +68,22 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_t(spark, d, "chunks"))
 
 
+def p4_properties(spark: SparkSession, d: str) -> DataFrame:
+    """For every chunk that was cut: whether no piece is too long, they leave nothing out, neighbours share 100 to 300 characters, all text is as it was, and lines are true."""
+    texts = _t(spark, d, "chunks").select("id", "chunk_text", "start_line").distinct()
+    p = p4_pieces(spark, d).where("pieces > 1").select("id", "chunk_index", "piece", "pieces", "begin", F.col("chunk_text").alias("text"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    next_begin = F.lead("begin").over(Window.partitionBy("id").orderBy("piece"))
+    shared = F.col("begin") + F.length("text") - F.col("next")
+    feeds = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    row = p.withColumn("next", next_begin).join(texts, "id")
+    true_first = F.col("start_line") + feeds(F.substring(F.col("chunk_text"), F.lit(1), F.col("begin")))
+    true_last = F.col("start_line") + feeds(F.substring(F.col("chunk_text"), F.lit(1), F.col("begin") + F.length("text") - 1))
+    whole = F.when(F.col("next").isNull(), F.col("begin") + F.length("text") == F.length("chunk_text")).otherwise(shared.between(100, 300))
+    return row.groupBy("id").agg(
+        (F.max(F.length("text")) <= 2048).alias("short_enough"), (F.min("begin") == 0).alias("from_start"), F.min(whole).alias("whole_with_overlap"), F.min(F.col("text") == F.substring(F.col("chunk_text"), F.col("begin") + 1, F.length("text"))).alias("same_text"), F.min((F.col("first") == true_first) & (F.col("last") == true_last)).alias("true_lines")
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of(most_similar(_t(spark, d, "chunks"), 5, 0.9), 0.9)
 
@@ -59,12 +94,13 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return term_scores(_t(spark, d, "chunks")).where("df between 2 and 5 and tf >= 3").select("id", "term")
+    """Terms of 2 to 5 chunks that stand three times or more and that the record's converged model keeps, i.e. gives more than the collection does."""
+    return term_scores(_t(spark, d, "chunks")).where("df between 2 and 5 and tf >= 3 and score > background").select("id", "term")
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every term of every chunk with its score."""
-    return term_scores(_t(spark, d, "chunks")).withColumn("score", F.round("score", 6))
+    return term_scores(_t(spark, d, "chunks")).select("id", "term", "tf", "df", "cf", F.round("score", 6).alias("score"), "rounds")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +130,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).report
 
 
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The flow's plan with sizes in code points, which SQL can count."""
+    r = mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"), vocabulary=None).report
+    return r.select("source", "documents", F.round("target_tokens", 3).alias("target_chars"), F.col("available_tokens").alias("available_chars"), F.col("capacity_tokens").alias("capacity_chars"), F.round("planned_tokens", 3).alias("planned_chars"), "short")
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For every target: whether no document is used too often, and whether the selection comes within 1 % of the mix of what was planned."""
+    m = mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+    most = m.selection.groupBy(F.col("source").alias("s")).agg(F.max("times").alias("most"))
+    near = F.abs(F.col("actual_tokens") - F.col("planned_tokens")) <= 0.01 * F.sum("planned_tokens").over(Window.partitionBy())
+    return m.report.join(most, F.col("source") == F.col("s"), "left").select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), near.alias("as_planned"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """Which documents the mix uses, for which source and how often."""
     return mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).selection
@@ -103,6 +153,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(_t(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its class of like-looking texts and its number of links."""
+    return lookalike_classes(_t(spark, d, "documents"))
+
+
 def p10_folded(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in the one form."""
     return fold_column(_t(spark, d, "documents").select("doc_id", "text"), "text", "folded").select("doc_id", F.length("folded").alias("folded_chars"), F.sha2("folded", 256).alias("folded_sha"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.session import staged
 
-OWN_SHARE, ROUNDS, TOLERANCE = 0.1, 50, 1e-6
+OWN_SHARE, ROUNDS, TOLERANCE = 0.1, 500, 1e-7
 _RUN = re.compile(r"[A-Za-z0-9_$]+")
 
 
@@ -29,23 +29,34 @@ def count_terms(terms: list[str], text: str) -> list[int]:
     return [seen[t] if _RUN.fullmatch(t) else len(re.findall(r"(?<![A-Za-z0-9_$])" + re.escape(t) + r"(?![A-Za-z0-9_$])", text)) for t in terms]
 
 
-def parsimonious(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own: float = OWN_SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Converged P(term | record) for many records at once.
+def parsimonious(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own: float = OWN_SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """P(term | record) for many records at once, and how many rounds each record took (-1 where `rounds` weren't enough).
 
     `tf` and `background` (P(term | collection)) lie one record after another; `starts` has where each
-    begins. Records have at least one term with a positive count.
+    begins. A record is done once no probability moves by `tolerance`, whatever records lie beside it.
+    A record without any occurrence has probability 0 for all terms.
     """
     size = np.diff(np.append(starts, len(tf)))
-    spread = lambda x: np.repeat(x, size)
-    p = tf / spread(np.add.reduceat(tf, starts))
-    for _ in range(rounds):
-        e = tf * (own * p) / ((1 - own) * background + own * p + 1e-300)
-        new = e / np.maximum(spread(np.add.reduceat(e, starts)), 1e-300)
-        done = np.abs(new - p).max() < tolerance
-        p = new
-        if done:
-            break
-    return p
+    took = np.full(len(starts), -1)
+    whole = np.add.reduceat(tf, starts) if len(starts) else np.zeros(0)
+    p = tf / np.maximum(np.repeat(whole, size), 1e-300)
+    live = np.arange(len(starts))
+    at, s, t, b, q = np.arange(len(tf)), starts, tf, background, p
+    for k in range(1, rounds + 1):
+        e = t * (own * q) / ((1 - own) * b + own * q + 1e-300)
+        new = e / np.maximum(np.repeat(np.add.reduceat(e, s), size), 1e-300)
+        done = np.maximum.reduceat(np.abs(new - q), s) < tolerance
+        q = new
+        if done.any():
+            over = np.repeat(done, size)
+            p[at[over]] = q[over]
+            took[live[done]] = k
+            live, at, t, b, q, size = live[~done], at[~over], t[~over], b[~over], q[~over], size[~done]
+            s = np.cumsum(size) - size
+            if not len(live):
+                return p, took
+    p[at] = q
+    return p, took
 
 
 def term_scores(records: DataFrame, id: str = "id", terms: str = "identifiers", text: str = "chunk_text", own: float = OWN_SHARE) -> DataFrame:
@@ -53,9 +64,10 @@ def term_scores(records: DataFrame, id: str = "id", terms: str = "identifiers",
 
     Terms are the blank-separated tokens of column `terms`, case kept. Result: id, term, tf (its
     occurrences in `text` with nothing of a word next to it), df (records that have the term), cf (its
-    occurrences in all records) and score (its probability in the record's parsimonious model; larger
-    is more characteristic, the scores of a record sum to 1). A term that is in `terms` but not in
-    `text` has tf 0 and weighs as one occurrence.
+    occurrences in all records), score (its probability in the record's parsimonious model; larger is
+    more characteristic, the scores of a record sum to 1), background (its probability in the
+    collection) and rounds (how many its record took to converge, -1 if it has not). A term that is in
+    `terms` but not in `text` has tf 0 and score 0.
 
     Records without terms and null ids are left out; a null text counts as empty; rows with one id
     count once. An empty table gives an empty result.
@@ -74,8 +86,8 @@ def term_scores(records: DataFrame, id: str = "id", terms: str = "identifiers",
     counted = rows.mapInPandas(count, f"id {kind}, terms array<string>, tf array<int>").where("size(terms) > 0")
     once = staged(counted.groupBy("id").agg(F.first("terms").alias("terms"), F.first("tf").alias("tf")), "terms")
     long = once.select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
-    background = long.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.greatest("tf", F.lit(1))).alias("cf"))
-    total = F.lit(float(long.agg(F.sum(F.greatest("tf", F.lit(1)))).first()[0] or 1))
+    background = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    total = F.lit(float(long.agg(F.sum("tf")).first()[0] or 1))
     met = long.join(background, "term").groupBy("id").agg(F.collect_list(F.struct("term", "tf", "df", "cf")).alias("x")).select("id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), F.col("x.df").alias("df"), F.col("x.cf").alias("cf"), total.alias("total"))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +98,9 @@ def term_scores(records: DataFrame, id: str = "id", terms: str = "identifiers",
             size = np.asarray(b.column(1).value_lengths())
             starts = np.cumsum(size) - size
             tf, cf = (np.asarray(x, dtype=float) for x in (flat[1], flat[3]))
-            p = parsimonious(np.maximum(tf, 1.0), cf / b.column(5)[0].as_py(), starts, own)
+            share = cf / b.column(5)[0].as_py()
+            p, took = parsimonious(tf, share, starts, own)
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
-            yield pa.RecordBatch.from_arrays([ids, *flat, pa.array(p)], names=["id", "term", "tf", "df", "cf", "score"])
+            yield pa.RecordBatch.from_arrays([ids, *flat, pa.array(p), pa.array(share), pa.array(np.repeat(took, size).astype(np.int32))], names=["id", "term", "tf", "df", "cf", "score", "background", "rounds"])
 
-    return met.mapInArrow(estimate, f"id {kind}, term string, tf int, df bigint, cf bigint, score double")
+    return met.mapInArrow(estimate, f"id {kind}, term string, tf int, df bigint, cf bigint, score double, background double, rounds int")

@@ -8,10 +8,32 @@ import os
 import re
 from functools import lru_cache
 
+from pyspark.broadcast import Broadcast
+from pyspark.sql import SparkSession
+
 DEFAULT = os.environ.get("LODESEEK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _WORD = re.compile(rb"[A-Za-z]{3,20}")
 
 
+# Fixed value: how the public byte-level vocabularies cut a text before they merge.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=2)
+def encoding(ranks: bytes):  # noqa: ANN201
+    """The tokenizer of a file of ranks, given by its content."""
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines())}
+    return tiktoken.Encoding("public", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """A vocabulary file (about a megabyte) as the driver reads it, sent to the executors, which need no copy of their own."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 @lru_cache(maxsize=4)
 def read_words(path: str = DEFAULT) -> dict[str, float]:
     """Lower-case words of the vocabulary (tokens that begin a word) with a cost that grows with their rank."""

@@ -56,3 +56,23 @@ def test_fold_column_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "ｘ", "old"), (2, None, "y")], "id int, text string, folded string")
     got = {r.id: (r.text, r.folded) for r in fold_column(df, "text", "folded").collect()}
     assert got == {1: ("ｘ", "x"), 2: (None, None)}
+
+
+def test_scripts_selectors_and_tags():
+    assert fold_text("ᎪᏴ ⲟⲣ ꓐꓲꓡꓡ") == "AB op BILL"
+    assert fold_text("x\U000e0041y\ufe01z\U000e0101") == "xyz"
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e007f"
+    assert fold_text(f"a{flag}b") == f"a{flag}b"
+
+
+def test_classes_and_a_large_class(spark, monkeypatch):
+    from lodeseek.llm import lookalike
+
+    monkeypatch.setattr(lookalike, "_PART", 4)
+    rows = [(k, "pale moon" if k % 3 else "pаle moon", "f", "r") for k in range(30)] + [(100, "other", "f", "r"), (101, "other", "f", "r"), (102, None, "f", "r"), (None, "x", "f", "r"), (100, "other", "f", "r")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, form string, raw string")
+    got = {r.doc_id: (r.class_id, r.members, r.texts, r.links) for r in lookalike.lookalike_classes(df).collect()}
+    assert got[0] == (0, 30, 2, 20) and got[1] == (0, 30, 2, 10) and got[100] == got[101] == (100, 2, 1, 0) and len(got) == 32
+    pairs = lookalike.lookalike_pairs(df).collect()
+    assert len(pairs) == 200 and sum(x[3] for x in got.values()) == 400
+    assert lookalike.lookalike_classes(df.limit(0)).count() == 0

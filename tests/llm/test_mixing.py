@@ -82,3 +82,22 @@ def test_too_many_targets_are_an_error(spark):
     with pytest.raises(ValueError, match="2 targets"):
         run(spark, [(1, "x y", "a")], targets, max_patterns=2)
     assert len(run(spark, [(1, "x y", "a")], targets, max_patterns=3)[0]) == 3
+
+
+def test_rebalancing_and_code_points(spark):
+    docs = [(k, "abcd", "a") for k in range(100)] + [(k, "abcd", "b") for k in range(100, 110)] + [(k, "abcd", "c") for k in range(200, 300)]
+    targets = [("a", 0.4, 1), ("b", 0.4, 1), ("c", 0.2, 2)]
+    report, _ = run(spark, docs, targets, vocabulary=None, size=400)
+    assert report["a"].available_tokens == 400 and report["b"].short and report["b"].actual_tokens == 40
+    assert report["a"].share_of_wanted == pytest.approx(0.4, abs=0.02) and sum(r.actual_tokens for r in report.values()) < 300
+    report, chosen = run(spark, docs, targets, vocabulary=None, size=400, rebalance=True)
+    assert sum(r.actual_tokens for r in report.values()) == pytest.approx(400, abs=16) and report["b"].short and not report["a"].short
+    assert report["a"].actual_tokens / report["c"].actual_tokens == pytest.approx(2, rel=0.1)
+
+
+def test_large_flow_is_quick():
+    rng = __import__("random").Random(3)
+    n, m = 20_000, 50
+    reach = [{s: 500 for s in rng.sample(range(m), 3)} for _ in range(n)]
+    flow = min_cost_flow([100] * n, reach, [30_000.0] * m, [5] * n)
+    assert sum(sum(f.values()) for f in flow) == pytest.approx(1_500_000) and max(sum(f.values()) for f in flow) <= 200.001

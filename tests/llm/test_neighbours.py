@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lodeseek.llm.neighbours import Tree, most_similar, pairs_of, reach_factor
+from lodeseek.llm.neighbours import SLACK, Search, Tree, chi_square_quantile, encode, most_similar, pairs_of
 
 SCHEMA = "id bigint, embedding array<float>, rep string, key string, cosine string"
 
@@ -53,8 +53,8 @@ def test_skipped_leaves_add_up_to_the_tail():
     u -= (u * x).sum(axis=1)[:, None] * x
     u /= np.linalg.norm(u, axis=1)[:, None]
     for cosine in (0.3, 0.7, 0.95):
-        q, to = t.likely(t.project(x), np.full(6000, cosine), 0.05)
-        for c in (cosine, (1 + cosine) / 2, 0.999):
+        q, to, _ = t.likely(t.project(x), np.full(6000, cosine), 0.05)
+        for c in (cosine, (3 + cosine) / 4):
             at = t.leaf_of(t.project((c * x + (1 - c * c) ** 0.5 * u).astype(np.float32)))
             assert np.isin(np.arange(6000) * 256 + at, q * 256 + to).mean() >= 0.95
     assert len(t.cuts) == 8 and len(t.likely(t.project(x), np.zeros(6000), 0.05)[0]) == 6000 * 256
@@ -91,15 +91,43 @@ def test_dense_cluster_is_found_without_all_pairs(spark):
     assert len(mine & want) >= 0.9 * len(want) and len(mine) <= 2000
 
 
+def test_a_group_that_is_too_large_is_split(spark):
+    """A tree fitted on a few vectors cuts badly; groups far above plan are dealt over several tasks and nothing is lost."""
+    x = np.concatenate([np.random.default_rng(1).standard_normal((300, 16)), np.ones((1500, 16)) + np.random.default_rng(2).standard_normal((1500, 16)) * 0.3])
+    got = {(r.id, r.neighbour) for r in most_similar(frame(spark, list(enumerate(x))), 5, 0.9, leaf=16, sample=30).collect()}
+    want = brute(list(range(len(x))), x, 5, 0.9)
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_tree():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((4000, 20)).astype(np.float32)
-    t = Tree(x[:1000], 4000, 250)
+    t = Tree(x[:1000], 4000, 250, axes=3)
     p = t.project(x)
     leaf = t.leaf_of(p)
-    assert np.bincount(leaf).max() < 2 * 250 and len(t.cuts) == 4
-    q, to = t.within(p, np.full(len(p), 1e9, np.float32))
-    assert len(q) == 4000 * 16
-    q, to = t.within(p, np.zeros(len(p), np.float32))
-    assert set(zip(range(4000), leaf, strict=True)) <= set(zip(q, to, strict=True)) and len(q) < 4100
-    assert reach_factor(0.0786) == pytest.approx(2, abs=0.01)
+    assert np.bincount(leaf).max() < 2 * 250 and len(t.cuts) == 4 and p.shape[1] == 3
+    lo, hi = t.boxes(leaf)
+    assert ((p >= lo) & (p <= hi)).all()
+    q, to, floor = t.likely(p, np.full(len(p), 0.9), 0.05)
+    every = t.chances(p, np.full(len(p), 0.9), np.arange(16))
+    assert set(zip(range(4000), leaf, strict=True)) <= set(zip(q, to, strict=True)) and len(q) < 4000 * 12
+    assert (every[q, to] >= floor[q] - 1e-5).all() and every.sum(axis=1).min() > 0.99
+
+
+def test_chi_square_test_and_codes():
+    assert chi_square_quantile(16, 0.001) == pytest.approx(39.25, abs=0.3) and chi_square_quantile(8, 0.05) == pytest.approx(15.51, abs=0.1)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    code, scale = encode(x)
+    y = code * scale[:, None]
+    assert np.abs(x @ x.T - y @ y.T).max() < SLACK
+    near = x + rng.standard_normal(x.shape).astype(np.float32) * 0.02
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    t = Tree(x, 500, 1024)
+    for least in (0.9, 0.1):  # by projected distance, and all at once
+        s = Search(np.arange(500), x, t.project(x), np.full(500, least, np.float32), 3)
+        s.visit(np.arange(500), np.arange(500) + 1000, near, t.project(near))
+        q, b, _ = s.edges()
+        assert len(set(zip(q, b, strict=True)) & {(i, i + 1000) for i in range(500)}) >= 498
+        assert (s.bound >= least).all()

@@ -3,16 +3,30 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lodeseek.llm.ranking import principal_weights, rank_together
+from lodeseek.llm.ranking import loadings, oriented, principal_component, rank_together
 
 
-def test_weights():
-    assert principal_weights(np.array([[1, 0.4], [0.4, 1]])) == pytest.approx([0.5**0.5] * 2)
-    assert principal_weights(np.array([[1, -0.4], [-0.4, 1]])) == pytest.approx([0.5**0.5] * 2)
-    assert principal_weights(np.eye(3)) == pytest.approx([3**-0.5] * 3)
-    assert principal_weights(np.zeros((2, 2))) == pytest.approx([0.5**0.5] * 2)
-    w = principal_weights(np.array([[1, 0.9, 0.1], [0.9, 1, 0.1], [0.1, 0.1, 1]]))
+def test_component():
+    assert principal_component(np.array([[1, 0.4], [0.4, 1]])) == pytest.approx([0.5**0.5] * 2)
+    assert sorted(principal_component(np.array([[1, -0.4], [-0.4, 1]]))) == pytest.approx([-(0.5**0.5), 0.5**0.5])
+    assert principal_component(np.eye(3)) == pytest.approx([3**-0.5] * 3)
+    assert principal_component(np.zeros((2, 2))) == pytest.approx([0.5**0.5] * 2)
+    w = principal_component(np.array([[1, 0.9, 0.1], [0.9, 1, 0.1], [0.1, 0.1, 1]]))
     assert w[0] == pytest.approx(w[1]) and w[2] < w[0] and np.linalg.norm(w) == pytest.approx(1)
+    # Two scores agree and a third one contradicts them: it keeps its own sign, which disagrees with its direction.
+    w = principal_component(np.array([[1, 0.8, -0.5], [0.8, 1, -0.5], [-0.5, -0.5, 1]]))
+    assert (w[:2] > 0).all() and w[2] < 0
+    size, agrees = oriented(w)
+    assert (size > 0).all() and agrees.tolist() == [True, True, False]
+
+
+def test_loadings(spark):
+    rng = np.random.default_rng(1)
+    rows = [(1, k, str(a), str(a + rng.random() / 4), str(a + rng.random())) for k, a in enumerate(rng.random(300))]
+    df = spark.createDataFrame(rows, "q bigint, m bigint, a string, b string, c string")
+    got = {r.score: (r.loading, r.agrees) for r in loadings(df, "q", "m", {"a": 1, "b": 1, "c": -1}).collect()}
+    assert got["a"][0] > 0 and got["b"][0] > 0 and got["c"][0] < 0 and [got[c][1] for c in "abc"] == [True, True, False]
+    assert rank_together(df, "q", "m", {"a": 1, "b": 1, "c": 1}).where("place = 1").count() == 1
 
 
 SCHEMA = "q bigint, m bigint, a string, b string, n string, place string, g string"
@@ -39,8 +53,14 @@ def test_edges(spark):
     assert ranked(spark, []) == {}
 
 
-def test_hot_group_gives_the_same(spark):
+def test_hot_group_and_ties(spark):
     rng = np.random.default_rng(4)
-    rows = [(1, k, str(round(rng.random(), 2)), None if k % 7 == 0 else str(rng.integers(1, 50))) for k in range(400)] + [(2, k, str(k), str(-k)) for k in range(1000, 1020)]
-    assert ranked(spark, rows, hot=30) == ranked(spark, rows)
-    assert sorted(p for (q, _), (_, _, p) in ranked(spark, rows, hot=30).items() if q == 1) == list(range(1, 401))
+    rows = [(1, k, str(round(rng.random(), 2)), None if k % 7 == 0 else str(rng.integers(1, 50))) for k in range(400)] + [(2, k, "1", "1") for k in range(1000, 1300)]
+    got = ranked(spark, rows)
+    assert sorted(p for (q, _), (_, _, p) in got.items() if q == 1) == list(range(1, 401))
+    # All alike: the middle rank for each, in order of the item.
+    assert [got[2, k][2] for k in range(1000, 1300)] == list(range(1, 301)) and {got[2, k][:2] for k in range(1000, 1300)} == {(0.5, 0.5)}
+    a = np.array([float(r[2]) for r in rows[:400]])
+    order = {r[1]: ((a < float(r[2])).sum() + ((a == float(r[2])).sum() - 1) / 2) / 399 for r in rows[:400]}
+    assert all(got[1, k][0] == pytest.approx(v) for k, v in order.items())
+    assert ranked(spark, [(1, 1, "1", None), (1, 1, None, "1")]).keys() == {(1, 1)}

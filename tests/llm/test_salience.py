@@ -25,10 +25,17 @@ def test_em_equals_slow_version():
     tf = np.concatenate([rng.integers(1, 9, n) for n in sizes]).astype(float)
     bg = rng.uniform(0.001, 0.4, len(tf))
     starts = np.cumsum(sizes) - sizes
-    got = parsimonious(tf, bg, starts, tolerance=0)
+    got, took = parsimonious(tf, bg, starts, rounds=50, tolerance=0)
+    assert took.tolist() == [-1, -1, -1]
     want = np.concatenate([slow(tf[a : a + n], bg[a : a + n]) for a, n in zip(starts, sizes, strict=True)])
     assert got == pytest.approx(want, abs=1e-9)
     assert np.add.reduceat(got, starts) == pytest.approx(np.ones(3))
+    # A record's model and its number of rounds don't depend on the records beside it.
+    both, rounds = parsimonious(tf, bg, starts)
+    for k, (a, n) in enumerate(zip(starts, sizes, strict=True)):
+        alone, one = parsimonious(tf[a : a + n], bg[a : a + n], np.array([0]))
+        assert alone == pytest.approx(both[a : a + n], abs=1e-15) and one[0] == rounds[k] > 0
+    assert parsimonious(np.zeros(2), np.array([0.1, 0.2]), np.array([0]))[0].tolist() == [0, 0]
 
 
 def test_table(spark):
@@ -40,5 +47,6 @@ def test_table(spark):
     got = {(r.id, r.term): r for r in term_scores(df).collect()}
     assert set(got) == {(1, "common"), (1, "rareOne"), (2, "common"), (2, "other"), (3, "common"), (3, "rareOne"), (7, "common")}
     assert (got[1, "common"].tf, got[1, "common"].df, got[3, "rareOne"].tf, got[1, "rareOne"].df, got[7, "common"].tf) == (3, 4, 0, 2, 50_000)
-    assert got[1, "rareOne"].score > got[1, "common"].score and got[2, "other"].score > got[2, "common"].score
+    assert got[2, "other"].tf == 0 and got[2, "other"].score == 0 and got[3, "common"].score == 0 and all(r.rounds > 0 for r in got.values())
+    assert got[1, "rareOne"].score > got[1, "common"].score
     assert term_scores(df.limit(0)).count() == 0

@@ -72,3 +72,23 @@ def test_numbering_over_blocks(spark):
 def test_overlap_must_fit(spark):
     with pytest.raises(ValueError, match="overlap"):
         split_oversized(rows(spark, []), limit=100, overlap=60)
+
+
+def test_tokens_as_the_unit(spark):
+    from lodeseek.llm.splitting import token_ends
+    from lodeseek.llm.vocabulary import DEFAULT, encoding
+
+    with open(DEFAULT, "rb") as f:
+        enc = encoding(f.read())
+    text = "".join(f"line {k} has über some words, and a déjà vu.\n" for k in range(80))
+    ends = token_ends(text, enc)
+    assert ends[-1] == len(text) and (ends[1:] >= ends[:-1]).all()
+    pieces = split_text(text, 100, 20, ends)
+    assert pieces[0].begin == 0 and pieces[-1].end == len(text) and len(pieces) > 5
+    for a, b in zip(pieces, pieces[1:], strict=False):
+        assert a.begin < b.begin < a.end < b.end
+    count = lambda p: ((ends > p.begin) & (ends <= p.end)).sum()
+    assert max(map(count, pieces)) <= 100
+    df = spark.createDataFrame([(1, "a", 0, text, 1), (2, "a", 1, "short", 90), (3, "a", None, None, None)], "id bigint, file_path string, chunk_index int, chunk_text string, start_line int")
+    got = split_oversized(df, limit=100, overlap=20, vocabulary=DEFAULT).collect()
+    assert sum(r.id == 1 for r in got) == len(pieces) and sorted(r.chunk_index for r in got) == list(range(len(got)))
