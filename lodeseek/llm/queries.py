@@ -11,11 +11,12 @@ from lodeseek.llm.leakage import find_leaks
 from lodeseek.llm.lookalike import fold_column, lookalike_classes, lookalike_pairs
 from lodeseek.llm.mixing import mix_sources
 from lodeseek.llm.neighbours import most_similar, pairs_of
-from lodeseek.llm.provenance import not_hand_written
+from lodeseek.llm.provenance import file_layout, not_hand_written
 from lodeseek.llm.ranking import loadings, rank_together
 from lodeseek.llm.salience import term_scores
-from lodeseek.llm.secrets import redact, secrets_in
+from lodeseek.llm.secrets import redact, scan, secrets_in
 from lodeseek.llm.splitting import split_oversized
+from lodeseek.operators.vector import vector_top_k
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,6 +60,11 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_hand_written(_t(spark, d, "chunks"))
 
 
+def p2_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The layout statistics of every file, hand-written or not."""
+    return file_layout(_t(spark, d, "chunks")).select(F.col("path").alias("file_path"), "chars", "lines", "max_line", "digits")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("pieces > 1").select("id").distinct()
 
@@ -93,6 +99,18 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return most_similar(_t(spark, d, "chunks"), 5)
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the 5 nearest of every chunk whose id is divisible by 50, by comparison with all vectors: how many there are, and whether the search found 97 % of them."""
+    chunks = _t(spark, d, "chunks").select("id", "embedding").dropDuplicates(["id"])
+    live = chunks.where("exists(embedding, x -> x <> 0)")
+    asked = live.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = vector_top_k(live, asked, 6).where("query_id <> id")
+    want = want.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("r <= 5")
+    got = p5_neighbours(spark, d).select(F.col("id").alias("query_id"), F.col("neighbour").alias("id"), F.lit(1).alias("hit"))
+    met = want.join(got, ["query_id", "id"], "left")
+    return met.agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.97 * F.count("*")).alias("found"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms of 2 to 5 chunks that stand three times or more and that the record's converged model keeps, i.e. gives more than the collection does."""
     return term_scores(_t(spark, d, "chunks")).where("df between 2 and 5 and tf >= 3 and score > background").select("id", "term")
@@ -112,6 +130,16 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(_t(spark, d, "chunks").select("id", "file_path", "chunk_text").distinct()).select("id", F.col("redacted").alias("chunk_text"))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For every chunk, after its secrets were blotted out: whether length and line ends are as they were, nothing but blots differs, and a second pass finds nothing more than the markers of private keys."""
+    c = _t(spark, d, "chunks").select("id", "file_path", "chunk_text").distinct()
+    once = scan(c, spans="first", out="clean")
+    twice = scan(once, text="clean", spans="second", out="again")
+    plain = lambda t: F.regexp_replace(t, "[^\\r\\n]", "")
+    left = F.filter("second", lambda s: s["kind"] != "private key")
+    return twice.select("id", (F.length("clean") == F.length("chunk_text")).alias("same_length"), (plain(F.col("clean")) == plain(F.col("chunk_text"))).alias("same_line_ends"), ((F.size("first") > 0) | (F.col("clean") == F.col("chunk_text"))).alias("rest_untouched"), (F.size(left) == 0).alias("none_left"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -121,6 +149,11 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).withColumn("score", F.round("score", 6))
 
 
+def p8_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The leaks with 15 words in a row, or all of a shorter item, which SQL can find too."""
+    return find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).where("longest_run >= least(15, item_words)").select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).where("short").select("source")
 

