@@ -19,15 +19,22 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(base_name(path), r"^.+(\.[^.]*)$", 1)
 
 
+# The kinds of file whose hits count less, first match first, and how much they count.
+README, MARKDOWN, TESTS, SETTINGS = 0.5, 0.7, 0.85, 0.8
+_TEST_FILE = r"\.(test|spec)\.[^.]+$"
+_TEST_FOLDER = "__(tests|test)__"
+_SETTINGS_FILE = r"\.(json|ya?ml|toml|ini|cfg|conf)$"
+
+
 def file_type_multiplier(path: Column) -> Column:
     """How much a hit in this kind of file counts: readme 0.5, other Markdown 0.7, tests 0.85, configuration and dot-files 0.8, else 1."""
     low = F.lower(path)
     base = base_name(low)
     return (
-        F.when(base == "readme.md", 0.5)
-        .when(low.endswith(".md"), 0.7)
-        .when(low.rlike(r"\.(test|spec)\.[^.]+$") | low.rlike(r"__(tests|test)__") | low.contains("/test/"), 0.85)
-        .when(low.rlike(r"\.(json|ya?ml|toml|ini|cfg|conf)$") | base.startswith("."), 0.8)
+        F.when(base == "readme.md", README)
+        .when(low.endswith(".md"), MARKDOWN)
+        .when(low.rlike(_TEST_FILE) | low.rlike(_TEST_FOLDER) | low.contains("/test/"), TESTS)
+        .when(low.rlike(_SETTINGS_FILE) | base.startswith("."), SETTINGS)
         .otherwise(1.0)
     )
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from lodeseek.functions.paths import extension
 
 # What a line begins with where a chunk begins, by extension.
-_WORD_END, _WORD_NEXT = "(?![A-Za-z0-9_])", "(?=[A-Za-z0-9_])"
-_TS = rf"^(?:export\s+)?(?:async\s+)?(?:(?:function|class|interface|type|enum){_WORD_END}|const\s+\w+\s*=\s*(?:async\s+)?\({_WORD_NEXT})"
-_JS = rf"^(?:export\s+)?(?:async\s+)?(?:(?:function|class){_WORD_END}|const\s+\w+\s*=\s*(?:async\s+)?\({_WORD_NEXT})"
+_TS = r"^(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|const\s+\w+\s*=\s*(?:async\s+)?\(|enum)\b"
+_JS = r"^(?:export\s+)?(?:async\s+)?(?:function|class|const\s+\w+\s*=\s*(?:async\s+)?\()\b"
 BOUNDARIES = {
     ".ts": _TS,
     ".tsx": _TS,
@@ -26,6 +25,8 @@ BOUNDARIES = {
     ".sql": "(?i)^(?:CREATE |ALTER |DROP |INSERT |SELECT |WITH |-- ===)",
 }
 CHARS_PER_TOKEN = 4
+# Java before 19 counts letters of all scripts as word signs at \\b, the fixed patterns mean ASCII alone: `classé` begins a class there.
+_ASCII_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _SPANS = "array<struct<chunk_index:int,start_line:int,end_line:int>>"
 
 
@@ -41,7 +42,7 @@ def _boundary_lines(lines: Column, ext: Column) -> Column:
     """Numbers of the lines that begin a chunk. Only the branch of the file's own extension is evaluated, once over its lines."""
     out = None
     for e, pattern in BOUNDARIES.items():
-        at = F.filter(F.transform(lines, _line_number_if(pattern)), lambda n: n.isNotNull())
+        at = F.filter(F.transform(lines, _line_number_if(pattern.replace(r"\b", _ASCII_EDGE))), lambda n: n.isNotNull())
         out = F.when(ext == e, at) if out is None else out.when(ext == e, at)
     return F.coalesce(out, F.array().cast("array<int>"))
 
@@ -120,15 +121,15 @@ def chunk_files(files: DataFrame, path: str = "file_path", content: str = "conte
 
 
 def register_chunk_udtf(spark) -> None:  # noqa: ANN001
-    """`chunk_text(content)` for SQL: lateral rows of chunk_index, start_line, end_line, text, cut by size."""
+    """`chunk_text(content[, max_tokens, overlap_tokens])` for SQL: lateral rows of chunk_index, start_line, end_line, text, cut by size."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="chunk_index int, start_line int, end_line int, text string")
+    @udtf(returnType="chunk_index int, start_line int, end_line int, text string", useArrow=True)
     class ChunkText:
-        def eval(self, content: str):  # noqa: ANN202
+        def eval(self, content: str, max_tokens: int = 512, overlap_tokens: int = 50):  # noqa: ANN202
             if content is not None:
                 lines = content.split("\n")
-                for k, a, b in spans_by_size([len(x) for x in lines], 2048, 200):
+                for k, a, b in spans_by_size([len(x) for x in lines], max_tokens * CHARS_PER_TOKEN, overlap_tokens * CHARS_PER_TOKEN):
                     yield k, a, b, "\n".join(lines[a - 1 : b])
 
     spark.udtf.register("chunk_text", ChunkText)

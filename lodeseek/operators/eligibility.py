@@ -33,18 +33,28 @@ def whitelisted_paths(paths: DataFrame, whitelist: DataFrame, path: str = "path"
     return own.join(whitelist.select(F.col(entry).alias("__up")).distinct(), "__up", "left_semi").select(path).distinct()
 
 
+# What makes a text search no question for the index.
+_EXPRESSION = r"[*+?\[\]{}()|\\^$]"
+_FILE = r"(?i)\.[a-z0-9]+$"
+_MEMBER = r"\w\.\w"
+_SLASH = r"[/\\]"
+_QUOTED = "^[\"']|[\"']$"
+_MARKER = "^[@#]|TODO|FIXME|HACK|XXX|DEPRECATED"
+_ADDRESS = "://|localhost"
+
+
 def redirects_grep(pattern: Column, path: Column, output_mode: Column, min_length: int = 4) -> Column:
     """Whether a text search reads like a question for the index: long enough, no expression, no file, no literal."""
     p, f, mode = F.coalesce(pattern, F.lit("")), F.coalesce(path, F.lit("")), F.coalesce(output_mode, F.lit("files_with_matches"))
     rejects = (
         (F.length(p) < min_length)
-        | F.regexp_replace(p, r"\\\.", "").rlike(r"[*+?\[\]{}()|\\^$]")
-        | ((f != "") & ~f.endswith("/") & f.rlike(r"(?i)\.[a-z0-9]+$"))
+        | F.regexp_replace(p, r"\\\.", "").rlike(_EXPRESSION)
+        | ((f != "") & ~f.endswith("/") & f.rlike(_FILE))
         | mode.isin("count", "content")
-        | p.rlike(r"[A-Za-z0-9_]\.[A-Za-z0-9_]")
-        | p.rlike(r"[/\\]")
-        | p.rlike("^[\"']|[\"']$")
-        | p.rlike("^[@#]|TODO|FIXME|HACK|XXX|DEPRECATED")
-        | p.rlike(":/{2}|localhost")
+        | p.rlike(_MEMBER)
+        | p.rlike(_SLASH)
+        | p.rlike(_QUOTED)
+        | p.rlike(_MARKER)
+        | p.rlike(_ADDRESS)
     )
     return ~rejects

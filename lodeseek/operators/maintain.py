@@ -113,7 +113,7 @@ def listing_union(*listings: DataFrame) -> DataFrame:
 
 def first_files(files: DataFrame, max_files: int | None, order: Column | None = None) -> DataFrame:
     """The listing cut to its first `max_files` paths, before any other rule looks at them; all of it without a number. Only paths are sorted."""
-    if max_files is None:
+    if max_files is None or files.select("file_path").count() <= max_files:
         return files
     first = files.select("file_path").orderBy(order if order is not None else F.col("file_path")).limit(max_files)
     return files.join(first, "file_path", "left_semi")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.plans import incremental, index, search
+from lodeseek.plans import host, incremental, index, search
 
-_MODULES = (incremental, index, search)
+_MODULES = (host, incremental, index, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

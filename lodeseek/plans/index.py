@@ -242,11 +242,21 @@ def event_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_latest_edit(spark: SparkSession, d: str) -> DataFrame:
-    """The last edit of each file, by what a stream does with each micro-batch, here over the whole event table as one batch; no stream is opened."""
+    """The last edit of each file, by a stream of the event table: each micro-batch adds its own last edits, of which the last one counts."""
+    import uuid
+
+    from lodeseek.session import shared_dir
     from lodeseek.streaming.edits import latest_edits
 
-    e = table(spark, d, "events").where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), "user_id").alias("file_path"), F.col("event_id").alias("content_version"))
-    return latest_edits(e)
+    own = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    edits = raw.where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), "user_id").alias("file_path"), F.col("event_id").alias("content_version"))
+
+    def batch(rows: DataFrame, number: int) -> None:
+        latest_edits(rows).write.mode("overwrite").parquet(f"{own}/batch={number}")
+
+    edits.writeStream.foreachBatch(batch).option("checkpointLocation", f"{own}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest_edits(spark.read.schema(edits.schema).option("recursiveFileLookup", "true").parquet(own))
 
 
 def vector_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -286,12 +296,10 @@ _LISTING = f"{_DOCS}, listing as (select file_path, arg_max(text, doc_id) as con
 _STORED = "stored as (select file_path, sum(octet_length(encode(chunk_text))) size_bytes from (select distinct id, file_path, chunk_text from chunks) group by file_path)"
 _EXT = "regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^.+(\\.[^.]*)$', 1)"
 _CURRENT = r"cur as (select regexp_replace(replace(file_path, '\', '/'), '^(\./+)+', '') as file_path, lower(arg_max(file_hash, (logged_at, run_no, outcome))) as content_hash from (select distinct * from indexed_files) group by 1)"
-_RAW = {".ts": r"^(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|const\s+\w+\s*=\s*(?:async\s+)?\(|enum)\b", ".js": r"^(?:export\s+)?(?:async\s+)?(?:function|class|const\s+\w+\s*=\s*(?:async\s+)?\()\b"}
-_RAW |= {".tsx": _RAW[".ts"], ".jsx": _RAW[".js"]}
 
 
 def _begins() -> str:
-    cases = " ".join(f"when '{e}' then regexp_matches(line, '{_RAW.get(e, p)}')" for e, p in BOUNDARIES.items())
+    cases = " ".join(f"when '{e}' then regexp_matches(line, '{p}')" for e, p in BOUNDARIES.items())
     return f"(case {_EXT} {cases} else false end)"
 
 
