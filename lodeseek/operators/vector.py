@@ -13,6 +13,7 @@ from lodeseek.operators.lexical import best
 from lodeseek.session import spread, staged
 
 BLOCK_BYTES = 16 << 20
+_AT_ONCE = 256  # queries in a table of similarities
 
 
 def _by_length(column: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,13 +75,15 @@ def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, id: str = "
 
 def _by_broadcast(spark: SparkSession, rows: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
     block = asked.toArrow()
-    shared = spark.sparkContext.broadcast((block.column(0).combine_chunks(), _by_length(block.column(1))))
+    names = block.column(0).combine_chunks()
+    shared = spark.sparkContext.broadcast([(names.slice(a, _AT_ONCE), _by_length(block.column(1).slice(a, _AT_ONCE))) for a in range(0, len(names), _AT_ONCE)])
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = shared.value
         for b in batches:
             if b.num_rows:
-                yield _best_of(names, b.column(0), similarities(vectors, _by_length(b.column(1))), k)
+                own = _by_length(b.column(1))
+                for names, vectors in shared.value:
+                    yield _best_of(names, b.column(0), similarities(vectors, own), k)
 
     return rows.mapInArrow(op, schema)
 
@@ -96,8 +99,8 @@ def _by_grid(rows: DataFrame, asked: DataFrame, k: int, schema: str, blocks: int
             return pa.table([a.column("q").slice(0, 0), b.column("id").slice(0, 0), pa.array([], pa.float64())], names=["query_id", "id", "similarity"])
         names, ids, own = a.column("q").combine_chunks(), b.column("id").combine_chunks(), _by_length(b.column("v"))
         out = []
-        for at in range(0, a.num_rows, 1024):  # a table of similarities at a time
-            out.append(_best_of(names.slice(at, 1024), ids, similarities(_by_length(a.column("v").slice(at, 1024)), own), k))
+        for at in range(0, a.num_rows, _AT_ONCE):
+            out.append(_best_of(names.slice(at, _AT_ONCE), ids, similarities(_by_length(a.column("v").slice(at, _AT_ONCE)), own), k))
         return pa.Table.from_batches(out)
 
     cell = lambda x: x.repartition(parts * blocks, "block", "part").groupBy("block", "part")

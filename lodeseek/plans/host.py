@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import tempfile
-import uuid
 from pathlib import Path
 
 import pandas as pd
@@ -19,7 +18,7 @@ from lodeseek.functions.paths import expand_home, relative_to, resolve_from
 from lodeseek.functions.scoring import fixed3
 from lodeseek.plans import index
 from lodeseek.safety import SafetyLists
-from lodeseek.session import shared_dir
+from lodeseek.session import session_path
 from lodeseek.sources import markdown
 from lodeseek.sources.corpora import table
 
@@ -85,7 +84,7 @@ def folder_lists(spark: SparkSession, d: str) -> DataFrame:
 def enabled(spark: SparkSession, d: str) -> DataFrame:
     """Tools and hooks that are left when some are switched off, bundled entries merged, and output as text."""
     tree = C.merge(C.DEFAULTS, {"disabled_tools": ["reindex", "blacklist"], "disabled_hooks": ["grep-redirect"], "hooks": {"auto_sync": False}})
-    host = tools.Host(Engine(spark, f"{shared_dir(spark)}/none", settings=tree), C.ProjectConfig("none.json"), SafetyLists("none.json", "/home/x"), lambda: index.listing(spark, d), lambda: 0)
+    host = tools.Host(Engine(spark, session_path(spark, "none"), settings=tree), C.ProjectConfig("none.json"), SafetyLists("none.json", "/home/x"), lambda: index.listing(spark, d), lambda: 0)
     rows = [("tool", x) for x in tools.tools(host)] + [("hook", x) for x in tools.hooks(host)]
     rows += [("skill", x) for x in markdown.with_bundled({"skills": {"paths": ["own"]}}, {}, {}, ["bundled", "own"])["skills"]["paths"]]
     rows += [("output", tools.to_tool_output("text")), ("output", tools.to_tool_output({"a": [1]}))]
@@ -93,7 +92,7 @@ def enabled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession) -> Engine:
-    return Engine(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", settings=C.merge(C.DEFAULTS, {"indexing": {"max_files": 10**9}}))
+    return Engine(spark, session_path(spark, "index"), settings=C.merge(C.DEFAULTS, {"indexing": {"max_files": 10**9}}))
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:

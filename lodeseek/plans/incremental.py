@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.operators.incremental import StateStore, completed_state, plain_path, run_once
-from lodeseek.session import shared_dir
+from lodeseek.session import session_path
 
 
 def _store(spark: SparkSession) -> StateStore:
-    return StateStore(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    return StateStore(spark, session_path(spark, "state"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

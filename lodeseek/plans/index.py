@@ -243,12 +243,10 @@ def event_routing(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_latest_edit(spark: SparkSession, d: str) -> DataFrame:
     """The last edit of each file, by a stream of the event table: each micro-batch adds its own last edits, of which the last one counts."""
-    import uuid
-
-    from lodeseek.session import shared_dir
+    from lodeseek.session import session_path
     from lodeseek.streaming.edits import latest_edits
 
-    own = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    own = session_path(spark, "stream")
     raw = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     edits = raw.where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), "user_id").alias("file_path"), F.col("event_id").alias("content_version"))
 

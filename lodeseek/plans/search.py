@@ -55,6 +55,12 @@ def word_index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
     return lexical.open_index(spark, path)
 
 
+def ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Takes the chunk table in: rows once, and the word index beside them. In a session's first call this is the whole work; the searches after it read what it stored."""
+    rows, index = chunks(spark, d, "id"), word_index(spark, d)
+    return rows.agg(F.count("*").alias("chunks")).withColumn("words", F.lit(index.words).cast("bigint"))
+
+
 def fts_index(spark: SparkSession, d: str) -> DataFrame:
     """The word index built anew, whatever is stored: rows, chunks and words."""
     built = lexical.build_index(table(spark, d, "chunks").select("id", "file_path", "chunk_text", "identifiers").dropDuplicates(["id"]))
@@ -168,7 +174,7 @@ def identifier_boosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_threshold, vector_path_filtered, postings, term_stats, corpus_stats, bm25_or, bm25_and, bm25_and_or_fallback, bm25_path_filtered, bm25_phrase, fts_porter, hybrid_search, fts_only_search, hybrid_search_merged, fts_index, search_results, fallback_results, vector_results, rrf_fusion, bm25_normalize, identifiers, fts_query_prep)
+    for f in (vector_topk, vector_threshold, vector_path_filtered, postings, term_stats, corpus_stats, bm25_or, bm25_and, bm25_and_or_fallback, bm25_path_filtered, bm25_phrase, fts_porter, hybrid_search, fts_only_search, hybrid_search_merged, ingest, fts_index, search_results, fallback_results, vector_results, rrf_fusion, bm25_normalize, identifiers, fts_query_prep)
 } | {"identifier_boost": identifier_boosts}
 
 
@@ -311,6 +317,7 @@ SQL = {
     "vector_topk": _VECTORS.format(narrow="") + "select query_id, id, round(sim, 6) as similarity, cast(rank as integer) as rank from r where rank <= 10",
     "vector_threshold": _VECTORS.format(narrow="") + "select query_id, id, file_path, round(sim, 6) as similarity, cast(rank as integer) as place from r where rank <= 10 and sim >= 0.35",
     "vector_path_filtered": _VECTORS.format(narrow="and b.file_path ilike 'SRC/%'") + "select query_id, id, round(sim, 6) as similarity, cast(rank as integer) as rank from r where rank <= 10",
+    "ingest": f"with {_POSTINGS.lstrip()} select (select count(*) from c) as chunks, (select count(*) from post) as words",
     "postings": f"with {_POSTINGS.lstrip()} select id, col, cast(pos as integer) as pos, term from post",
     "term_stats": f"with {_POSTINGS.lstrip()} select term, count(distinct id) as df, count(*) as cf from post group by term",
     "corpus_stats": f"with {_POSTINGS.lstrip()}, dl as (select id, sum(len(words)) dl from cols group by id) select count(*) as n_all, round(avg(dl), 6) as avgdl, cast(max(dl) as integer) as longest from dl",

@@ -52,14 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def staged_path(df: DataFrame, label: str) -> str:
-    """Where `df` was written to in the shared folder, below a folder of this session, which goes when the session ends."""
-    spark = df.sparkSession
+def session_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, below a folder of this session, which goes when the session ends."""
     own = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
-    path = f"{own}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
     fs, root = file_system(spark, own)
+    fs.mkdirs(root)
     fs.deleteOnExit(root)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def staged_path(df: DataFrame, label: str) -> str:
+    """Where `df` was written to, a `session_path`."""
+    path = session_path(df.sparkSession, label)
+    df.write.mode("error").parquet(path)
     return path
 
 
