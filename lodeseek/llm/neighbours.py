@@ -37,7 +37,7 @@ SLACK = 0.008
 # A group has at most so many vectors by plan, and an index at least so many groups, so that there are tasks for all.
 GROUP, LEAST_GROUPS = 1 << 17, 8
 _NEARER = (1.0, 1 / 4)  # squared distances, as shares of the bound's, at which leaves must be held
-_ROUTES = 1 << 22  # chances held at a time
+_ROUTES = 1 << 19  # chances held at a time; each takes some 150 bytes while leaves are chosen
 _AT = np.linspace(-8, 8, 16_001)
 _CDF = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _AT])
 _CODE = "rep bigint, leaf int, code binary, scale float"
