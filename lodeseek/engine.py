@@ -22,7 +22,7 @@ from lodeseek.operators.merge import merge_adjacent, presented
 from lodeseek.safety import SafetyLists
 from lodeseek.schemas import CHUNKS, SCHEMA_VERSION
 from lodeseek.session import staged
-from lodeseek.sources.warehouse import Warehouse
+from lodeseek.sources.warehouse import BUCKETS, Warehouse
 
 
 class DimensionError(RuntimeError):
@@ -43,10 +43,11 @@ class Engine:
     job_group: str = "lodeseek-sync"
     root: str = ""
     safety: SafetyLists | None = None
+    buckets: int = BUCKETS
 
     @property
     def warehouse(self) -> Warehouse:
-        return Warehouse(self.spark, self.folder)
+        return Warehouse(self.spark, self.folder, self.buckets)
 
     def _get(self, path: str) -> Any:
         return C.get(self.settings, path)

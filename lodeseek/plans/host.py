@@ -92,7 +92,7 @@ def enabled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession) -> Engine:
-    return Engine(spark, session_path(spark, "index"), settings=C.merge(C.DEFAULTS, {"indexing": {"max_files": 10**9}}))
+    return Engine(spark, session_path(spark, "index"), settings=C.merge(C.DEFAULTS, {"indexing": {"max_files": 10**9}}), buckets=8)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:

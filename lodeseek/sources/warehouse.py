@@ -90,6 +90,7 @@ class Warehouse:
         before, content = store.version(), store.content()
         out = {k: {} if replace and k != "sync_state" else dict(content.get(k) or {}) for k in ("chunks", "postings", "figures", "sync_state")}
         out["next_id"] = 1 if replace else content.get("next_id", 1)
+        out["buckets"] = self.buckets if replace else content.get("buckets", self.buckets)  # an index keeps the number it began with
         for k, v in (values or {}).items():
             if v is None:
                 out["sync_state"].pop(k, None)
@@ -100,7 +101,7 @@ class Warehouse:
         return store.publish(before, out)
 
     def _write(self, out: dict, fresh: DataFrame | None, gone: DataFrame | None) -> None:
-        bucket = F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64("file_path"), F.lit(out["buckets"])).cast("int")
         paths = [x.select("file_path") for x in (fresh, gone) if x is not None]
         every = paths[0] if len(paths) == 1 else paths[0].unionAll(paths[1])
         touched = {r.b for r in every.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` numbers

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +59,10 @@ class Debounce(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         last = self.last.get()[0] if self.last.exists() else None
-        events = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        out = []
-        for ms, event in zip(events["ms"], events["event_id"], strict=True):
+        # Two numbers an event are held, however a key's events of the micro-batch come in.
+        times, ids = (np.concatenate(x) for x in zip(*((b["ms"].to_numpy(), b["event_id"].to_numpy()) for b in rows), strict=True))
+        out, order = [], np.lexsort((ids, times))
+        for ms, event in zip(times[order], ids[order], strict=True):
             if last is None or ms - last >= self.gap_ms:
                 last = int(ms)
                 out.append(int(event))
