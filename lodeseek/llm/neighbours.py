@@ -19,7 +19,7 @@ freedom, so beyond d times its quantile nothing as near as the bound is left.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -38,6 +38,8 @@ SLACK = 0.008
 GROUP, LEAST_GROUPS = 1 << 17, 8
 _NEARER = (1.0, 1 / 4)  # squared distances, as shares of the bound's, at which leaves must be held
 _ROUTES = 1 << 19  # chances held at a time; each takes some 150 bytes while leaves are chosen
+_BLOCK = 1 << 14  # queries that visit leaves together at most
+_LEAST = (24, 4, 1)  # least chances that are looked at, in units of what loses an eighth of the tail at most
 _AT = np.linspace(-8, 8, 16_001)
 _CDF = np.array([math.erfc(-z / math.sqrt(2)) / 2 for z in _AT])
 _CODE = "rep bigint, leaf int, code binary, scale float"
@@ -121,46 +123,85 @@ class Tree:
         return best
 
     def likely(self, p: np.ndarray, cosine: np.ndarray, tail: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, leaf) of the leaves to visit, and for each query the smallest chance among them.
+        """(query, leaf) of the leaves to visit, by query and leaf, and for each query the smallest chance among them.
 
         Likeliest leaves come first, until those left out hold less than `tail` in all, at each of the
         distances in _NEARER. Every leaf for queries whose cosine isn't above 0.
         """
-        floor = np.full(len(p), np.inf)
-        qs, leaves = [], []
-        least = tail / (8 << self.depth)
+        floor, deep = np.full(len(p), np.inf), self.depth
+        every = np.flatnonzero(cosine <= 0)
+        floor[every] = 0
+        found = [(every[:, None] << deep | np.arange(1 << deep)).ravel()]
         for share in _NEARER:
-            c = np.where(cosine > 0, 1 - (1 - np.clip(cosine, 0, 1)) * share, 0.0)
-            width = np.sqrt(np.maximum(1e-9, 1 - c * c))
-            q, node, chance = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones(len(p))
-            bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for level, cut in enumerate(self.cuts):
-                a = level % p.shape[1]
-                z = np.interp((cut[node] - c[q] * p[q, a]) / width[q], _AT, _CDF)
-                low, high = bounds.get(a, (np.zeros(len(q)), np.ones(len(q))))
+            c = 1 - (1 - np.clip(cosine, 0, 1)) * share
+            rest = np.flatnonzero(cosine > 0)
+            # What is under the least chance is not looked at. Where what is over it holds too little, the least is lowered.
+            for least in (tail * x / (8 << deep) for x in _LEAST):
+                q, node, chance = self.descend(p[rest], c[rest], least)
+                order = np.lexsort((-chance, q))
+                q, node, chance = q[order], node[order], chance[order]
+                before = np.cumsum(chance) - chance
+                first = np.searchsorted(q, np.arange(len(rest)))
+                before -= before[np.minimum(first, len(before) - 1)][q]
+                enough = (np.bincount(q, chance, len(rest)) >= 1 - tail * 7 / 8) | (least == tail / (8 << deep))
+                keep = (before < 1 - tail * 7 / 8) & enough[q]
+                found.append(rest[q[keep]] << deep | node[keep])
+                np.minimum.at(floor, rest[q[keep]], chance[keep])
+                rest = rest[~enough]
+                if not len(rest):
+                    break
+        both = np.unique(np.concatenate(found))
+        return both >> deep, both & ((1 << deep) - 1), floor
+
+    def descend(self, p: np.ndarray, cosine: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf, chance) of the leaves that hold a neighbour at that cosine with a chance of at least `least`."""
+        width = 1 / np.sqrt(np.maximum(1e-9, 1 - cosine * cosine))
+        mid = np.ascontiguousarray(((cosine * width)[:, None] * p).T)
+        q, node, chance = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones(len(p))
+        bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the axes that are cut again
+        for level, cut in enumerate(self.cuts):
+            a = level % len(mid)
+            z = _below(cut[node] * width[q] - mid[a][q])
+            if a in bounds:
+                low, high = bounds.pop(a)
                 z = np.clip(z, low, high)
-                inside = np.maximum(high - low, 1e-300)
-                keep_low, keep_high = chance * (z - low) / inside, chance * (high - z) / inside
-                bounds[a] = (low, z), (z, high)  # of the lower and of the upper half
-                k0 = (keep_low >= least) | (cosine[q] <= 0)
-                k1 = (keep_high >= least) | (cosine[q] <= 0)
-                for axis, b in list(bounds.items()):
-                    if axis == a:
-                        bounds[axis] = np.concatenate([b[0][0][k0], b[1][0][k1]]), np.concatenate([b[0][1][k0], b[1][1][k1]])
-                    else:
-                        bounds[axis] = np.concatenate([b[0][k0], b[0][k1]]), np.concatenate([b[1][k0], b[1][k1]])
-                q, node, chance = np.concatenate([q[k0], q[k1]]), np.concatenate([node[k0] * 2, node[k1] * 2 + 1]), np.concatenate([keep_low[k0], keep_high[k1]])
-            order = np.lexsort((-chance, q))
-            q, node, chance = q[order], node[order], chance[order]
-            before = np.cumsum(chance) - chance
-            first = np.searchsorted(q, np.arange(len(p)))
-            before -= before[np.minimum(first, len(before) - 1)][q]
-            keep = (before < 1 - tail * 7 / 8) | (cosine[q] <= 0)
-            qs.append(q[keep])
-            leaves.append(node[keep])
-            np.minimum.at(floor, q[keep], chance[keep])
-        both = np.unique(np.concatenate(qs) << self.depth | np.concatenate(leaves))
-        return both >> self.depth, both & ((1 << self.depth) - 1), np.where(cosine > 0, floor, 0.0)
+                part = chance / np.maximum(high - low, 1e-300)
+                lower, upper = part * (z - low), part * (high - z)
+            else:
+                low, high = np.zeros(len(q)), np.ones(len(q))
+                lower, upper = chance * z, chance * (1 - z)
+            k0, k1 = np.flatnonzero(lower >= least), np.flatnonzero(upper >= least)
+            both = np.concatenate([k0, k1])
+            bounds = {axis: (l[both], h[both]) for axis, (l, h) in bounds.items()}
+            if level + len(mid) < self.depth:
+                bounds[a] = np.concatenate([low[k0], z[k1]]), np.concatenate([z[k0], high[k1]])
+            q, node, chance = q[both], node[both] * 2, np.concatenate([lower[k0], upper[k1]])
+            node[len(k0) :] += 1
+        return q, node, chance
+
+    def routes(self, p: np.ndarray, cosine: np.ndarray, tail: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """`likely` for many queries, block by block: the block's queries, then (query's place in the block, leaf) and floors. What is held at a time is bounded by _ROUTES."""
+        a = begin = held = 0
+        step = least = max(1, _ROUTES >> self.depth)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while a < len(p):
+            q, to, floor = self.likely(p[a : a + step], cosine[a : a + step], tail)
+            parts.append((q + (a - begin), to, floor))
+            a, held = a + len(floor), held + len(q)
+            # A query looks at some four times the leaves that it keeps.
+            step = max(least, min(2 * step, _ROUTES * len(floor) // (4 * max(1, len(q)))))
+            if a >= len(p) or held >= 2 * _ROUTES or a - begin >= _BLOCK:
+                who, to, floor = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield np.arange(begin, a), who, to, floor
+                begin, held, parts = a, 0, []
+
+
+def _below(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, by its table."""
+    at = np.clip((z + 8) * 1000, 0, 15_999.999)
+    i = at.astype(np.int32)
+    low = _CDF[i]
+    return low + (at - i) * (_CDF[i + 1] - low)
 
 
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +228,13 @@ def _matrix(blobs: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(a), -1)
 
 
+def _marked(z: np.ndarray) -> np.ndarray:
+    """Flat places of what holds, for few in many; the number of columns is a multiple of 8."""
+    words = np.flatnonzero(z.ravel().view(np.uint64))
+    at, place = np.nonzero(z.reshape(-1, 8)[words])
+    return words[at] * 8 + place
+
+
 class Search:
     """The best so far of some queries, against one leaf after another."""
 
@@ -203,15 +251,19 @@ class Search:
         """What a neighbour must reach to count."""
         return np.maximum(self.least, self.best[:, -1])
 
-    def visit(self, who: np.ndarray, ids: np.ndarray, x: np.ndarray, p: np.ndarray, block: int = 1024) -> None:
+    def visit(self, who: np.ndarray, ids: np.ndarray, x: np.ndarray, p: np.ndarray, block: int = 256) -> None:
         """Compare the queries `who` with the vectors of one leaf."""
-        norm = (p * p).sum(axis=1)
+        # One product gives how far each squared distance lies beyond what the test allows; columns are filled up to eights.
+        right = np.zeros((p.shape[1] + 2, -(-len(p) // 8) * 8), p.dtype)
+        right[-1] = np.inf
+        right[:-2, : len(p)], right[-2], right[-1, : len(p)] = p.T * -2, 1, (p * p).sum(axis=1)
         for a in range(0, len(who), block):
             w = who[a : a + block]
-            bound = self.bound[w] - SLACK
+            bound = np.maximum(self.least[w], self.best[w, -1]) - SLACK
             if np.median(bound) > 0.75:  # few pass the test: it costs M products a pair, and verification is rare
-                far = self.norm[w][:, None] + norm[None, :] - 2 * (self.p[w] @ p.T)
-                i, j = np.nonzero(far <= ((2 - 2 * bound) * self.quantile)[:, None])
+                allowed = (2 - 2 * bound) * self.quantile
+                left = np.column_stack([self.p[w], self.norm[w] - allowed, np.ones(len(w), p.dtype)]).astype(p.dtype, copy=False)
+                i, j = np.divmod(_marked(left @ right <= 0), right.shape[1])
                 s = np.einsum("ij,ij->i", self.x[w[i]], x[j])
                 ok = (s >= bound[i]) & (self.ids[w[i]] != ids[j])
                 i, j, s = i[ok], j[ok], s[ok]
@@ -319,68 +371,82 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
     plan = max(leaf << bits, 1)
     sized = staged(placed.groupBy(group(F.col("leaf"))).agg(F.ceil(F.count("*") / (2 * plan)).cast("int").alias("parts"), F.ceil(F.count("*") / (4 * plan)).cast("int").alias("asked")), "groups")
 
-    def run(table: pa.Table, points: pa.Table, at_home: bool) -> tuple[Search, np.ndarray, np.ndarray]:
-        """Search for the queries of `table` in one group; also the projections and, at home, the floors."""
+    def prepared(table: pa.Table, points: pa.Table, bound: np.ndarray) -> tuple[Search, Callable[[np.ndarray, np.ndarray, np.ndarray], None], Callable[[np.ndarray], None]]:
+        """The search of the queries of `table` in one group, with its two steps: own leaves, and others."""
         t = tree.value
-        x = _matrix(table["code"], np.int8).astype(np.float32) * np.asarray(table["scale"], dtype=np.float32)[:, None]
-        y = _matrix(points["code"], np.int8).astype(np.float32) * np.asarray(points["scale"], dtype=np.float32)[:, None]
-        px, py, other, where = t.project(x), t.project(y), np.asarray(points["rep"]), np.asarray(points["leaf"])
+        x, y = _decoded(table), _decoded(points)
+        py, other, where = t.project(y), np.asarray(points["rep"]), np.asarray(points["leaf"])
         order = np.argsort(where, kind="stable")
         leaves, begin = np.unique(where[order], return_index=True)
         end = np.append(begin[1:], len(order))
-        bound = np.full(table.num_rows, least, np.float32) if at_home else np.asarray(table["bound"], dtype=np.float32)
-        s = Search(np.asarray(table["rep"]), x, px, bound, k)
-        home = np.asarray(table["leaf"]) if at_home else np.full(table.num_rows, -1)
-        for a, b, own in zip(begin, end, leaves, strict=True):
-            who = np.flatnonzero(home == own)
-            if len(who):
-                s.visit(who, other[order[a:b]], y[order[a:b]], py[order[a:b]])
-        floor = _floors(t, px, s.bound, tail) if at_home else np.asarray(table["floor"], dtype=np.float64)
-        for a in range(0, table.num_rows, step := max(1, _ROUTES // max(1, len(leaves)))):
-            rows = np.arange(a, min(a + step, table.num_rows))
-            chance = t.chances(px[rows], s.bound[rows] - SLACK, leaves)
+        s = Search(np.asarray(table["rep"]), x, t.project(x), bound, k)
+
+        def visit(who: np.ndarray, at: int) -> None:
+            rows = order[begin[at] : end[at]]
+            s.visit(who, other[rows], y[rows], py[rows])
+
+        def own(home: np.ndarray) -> None:
+            by = np.argsort(home, kind="stable")
+            for at, (a, b) in enumerate(zip(np.searchsorted(home[by], leaves), np.searchsorted(home[by], leaves, "right"), strict=True)):
+                if b > a:
+                    visit(by[a:b], at)
+
+        def others(rows: np.ndarray, wants: np.ndarray, floor: np.ndarray) -> None:
+            """Visit what `wants` (leaf of the group, query of `rows`) marks."""
             # The likeliest leaves of the group first; what they find tightens the test for the rest.
-            for k_leaf in np.argsort(-chance.sum(axis=0)):
-                want = (home[rows] != leaves[k_leaf]) & (chance[:, k_leaf] >= floor[rows])
-                who = rows[want]
-                tighter = who[s.best[who, -1] > s.least[who]]
-                if len(tighter):
-                    again = t.chances(px[tighter], s.bound[tighter] - SLACK, leaves[k_leaf : k_leaf + 1])[:, 0]
-                    who = np.setdiff1d(who, tighter[again < floor[tighter]], assume_unique=True)
+            some = rows[:: max(1, len(rows) // 128)]
+            for at in np.argsort(-t.chances(s.p[some], s.bound[some] - SLACK, leaves).sum(axis=0)):
+                place = np.flatnonzero(wants[leaves[at] & ((1 << bits) - 1)])
+                who = rows[place]
+                tight = s.best[who, -1] > s.least[who]
+                if tight.any():
+                    again = t.chances(s.p[who[tight]], s.bound[who[tight]] - SLACK, leaves[at : at + 1])[:, 0]
+                    tight[tight] = again < floor[place[tight]]
+                    who = who[~tight]
                 if len(who):
-                    at = order[begin[k_leaf] : end[k_leaf]]
-                    s.visit(who, other[at], y[at], py[at])
-        return s, px, floor
+                    visit(who, at)
+
+        return s, others, own
 
     def home(left: pa.Table, right: pa.Table) -> pa.Table:
         t = tree.value
         if not left.num_rows or not right.num_rows:
-            return _homed([], np.zeros((0, 1), np.int8), [], [], [], [], [])
-        s, px, _ = run(left, right, True)
-        q, b, sim = s.edges()
-        own = np.asarray(left["leaf"]) >> bits
+            return _homed([], np.zeros((0, 1), np.int8), [], [], [], [], [], [], [])
+        at = np.asarray(left["leaf"])
+        s, others, own = prepared(left, right, np.full(left.num_rows, least, np.float32))
+        own(at)
         # Where a group has several parts, a query goes on to other groups from the first one only.
-        first = np.asarray(left["first"])
-        groups, floors = [np.zeros(0, np.int64)] * left.num_rows, np.zeros(left.num_rows)
-        for a in range(0, left.num_rows, step := max(1, _ROUTES >> t.depth)):
-            r = np.arange(a, min(a + step, left.num_rows))
-            who, to, floor = t.likely(px[r], s.bound[r] - SLACK, tail)
-            floors[r] = floor
-            pair = np.unique(who << t.depth | (to >> bits))
-            who, to = pair >> t.depth, pair & ((1 << t.depth) - 1)
-            away = (to != own[r][who]) & first[r][who]
-            who, to = who[away], to[away]
-            cut = np.searchsorted(who, np.arange(len(r) + 1))
-            for i in range(len(r)):
-                groups[a + i] = to[cut[i] : cut[i + 1]]
+        first, floors = np.asarray(left["first"]), np.zeros(left.num_rows)
+        whose, groups, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, _width(bits)), np.uint8)]
+        before = s.bound.copy()
+        for rows, who, to, floor in t.routes(s.p, before - SLACK, tail):
+            wants = np.zeros((1 << bits, len(rows)), bool)
+            here = (to >> bits == at[rows][who] >> bits) & (to != at[rows][who])
+            wants[to[here] & ((1 << bits) - 1), who[here]] = True
+            others(rows, wants, floor)
+            floors[rows] = floor
+            changed = (s.bound[rows] > before[rows]) & first[rows]
+            go = first[rows][who] & ~changed[who]
+            legs = [(rows[who[go]], to[go])]
+            for some, q, leaf_to, low in t.routes(s.p[rows[changed]], s.bound[rows[changed]] - SLACK, tail):
+                floors[rows[changed][some]] = low
+                legs.append((rows[changed][some][q], leaf_to))
+            for q, leaf_to in legs:
+                abroad = leaf_to >> bits != at[q] >> bits
+                for kept, new in zip((whose, groups, masks), _legs(q[abroad], leaf_to[abroad], bits), strict=True):
+                    kept.append(new)
+        q, b, sim = s.edges()
         order = np.argsort(q, kind="stable")
-        cut = np.searchsorted(q[order], np.arange(left.num_rows + 1))
-        return _homed(s.ids, _matrix(left["code"], np.int8), np.asarray(left["scale"]), s.bound, floors, groups, b[order], sim[order], cut)
+        return _homed(s.ids, _matrix(left["code"], np.int8), np.asarray(left["scale"]), s.bound, floors, *(np.concatenate(v) for v in (whose, groups, masks)), q[order], b[order], sim[order])
 
     def away(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=["a", "b", "sim"])
-        s, _, _ = run(left, right, False)
+        s, others, _ = prepared(left, right, np.asarray(left["bound"], dtype=np.float32))
+        floor, masks = np.asarray(left["floor"], dtype=np.float64), _matrix(left["leaves"], np.uint8)
+        for a in range(0, left.num_rows, step := max(1, (16 * _ROUTES) >> bits)):
+            rows = np.arange(a, min(a + step, left.num_rows))
+            others(rows, np.unpackbits(np.ascontiguousarray(masks[rows].T), axis=0, count=1 << bits, bitorder="little"), floor[rows])
         q, b, sim = s.edges()
         return pa.table([pa.array(s.ids[q]), pa.array(b), pa.array(sim)], names=["a", "b", "sim"])
 
@@ -391,7 +457,7 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
     # `first` holds for the copy of a query that meets the first part of its group.
     asked = _cells(placed.select("rep", "leaf", "code", "scale", group(F.col("leaf"))), "asked", sized, "parts").withColumn("first", F.expr("cell.part = 0"))
     homed = staged(asked.repartition(parts, "cell").groupBy("cell").cogroup(side(points, "parts", sized)).applyInArrow(home, _HOMED), "homed")
-    queries = homed.where("size(groups) > 0").select("rep", "code", "scale", "bound", "floor", F.explode("groups").alias("group"))
+    queries = homed.select("rep", "code", "scale", "bound", "floor", F.explode("groups").alias("g")).select("rep", "code", "scale", "bound", "floor", "g.group", "g.leaves")
     load = queries.groupBy("group").agg(F.ceil(F.count("*") / (4 * plan)).cast("int").alias("asked"))
     loads = staged(sized.select("group", "parts").join(load, "group"), "loads")
     far = side(queries, "asked", loads).cogroup(side(points, "parts", loads)).applyInArrow(away, "a bigint, b bigint, sim float")
@@ -404,23 +470,41 @@ def most_similar(records: DataFrame, k: int = 5, min_cosine: float | None = None
     return _rank(_verified(near, base, least), ids, placed.select("key", "rep"), k).select(*(x.split()[0] for x in schema.split(", ")))
 
 
-def _floors(t: Tree, p: np.ndarray, bound: np.ndarray, tail: float) -> np.ndarray:
-    out = np.zeros(len(p))
-    for a in range(0, len(p), step := max(1, _ROUTES >> t.depth)):
-        out[a : a + step] = t.likely(p[a : a + step], bound[a : a + step] - SLACK, tail)[2]
-    return out
+_HOMED = "rep bigint, code binary, scale float, bound float, floor double, groups array<struct<group: int, leaves: binary>>, near array<struct<b: bigint, sim: float>>"
+
+
+def _width(bits: int) -> int:
+    """Bytes of a mark for each leaf of a group."""
+    return max(1, (1 << bits) >> 3)
+
+
+def _legs(who: np.ndarray, to: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query and group once, and the leaves it goes to there, a bit for each; (who, to) come ordered."""
+    fresh = np.ones(len(who), bool)
+    fresh[1:] = (who[1:] != who[:-1]) | (to[1:] >> bits != to[:-1] >> bits)
+    leaf, width = to & ((1 << bits) - 1), _width(bits)
+    place = (np.cumsum(fresh) - 1) * width + (leaf >> 3)
+    masks = np.zeros(int(fresh.sum()) * width, np.uint8)
+    if len(place):
+        at = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        masks[place[at]] = np.bitwise_or.reduceat(np.left_shift(1, leaf & 7).astype(np.uint8), at)
+    return who[fresh], to[fresh] >> bits, masks.reshape(-1, width)
 
 
-_HOMED = "rep bigint, code binary, scale float, bound float, floor double, groups array<int>, near array<struct<b: bigint, sim: float>>"
+def _decoded(table: pa.Table) -> np.ndarray:
+    x = _matrix(table["code"], np.int8).astype(np.float32)
+    x *= np.asarray(table["scale"], dtype=np.float32)[:, None]
+    return x
 
 
-def _homed(ids, code, scale, bound, floors, groups, b, sim=(), cut=(0,)) -> pa.Table:  # noqa: ANN001
-    """Queries after their own group: what they found there and the groups they go on to."""
-    ends = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int32)
-    flat = np.concatenate(groups) if len(groups) else np.zeros(0)
-    near = pa.ListArray.from_arrays(pa.array(np.asarray(cut, np.int32)), pa.StructArray.from_arrays([pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(sim, np.float32))], names=["b", "sim"]))
+def _homed(ids, code, scale, bound, floors, whose, groups, masks, q, b=(), sim=()) -> pa.Table:  # noqa: ANN001
+    """Queries after their own group: what they found there (ordered by query) and the groups they go on to."""
+    order = np.argsort(whose, kind="stable")
+    cut = lambda by: pa.array(np.searchsorted(by, np.arange(len(ids) + 1)).astype(np.int32))
+    legs = pa.StructArray.from_arrays([pa.array(np.asarray(groups)[order].astype(np.int32)), _blobs(np.asarray(masks, np.uint8).reshape(len(order), -1 if len(order) else 1)[order])], names=["group", "leaves"])
+    near = pa.StructArray.from_arrays([pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(sim, np.float32))], names=["b", "sim"])
     return pa.table(
-        [pa.array(np.asarray(ids, np.int64)), _blobs(code), pa.array(np.asarray(scale, np.float32)), pa.array(np.asarray(bound, np.float32)), pa.array(np.asarray(floors, float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))), near],
+        [pa.array(np.asarray(ids, np.int64)), _blobs(code), pa.array(np.asarray(scale, np.float32)), pa.array(np.asarray(bound, np.float32)), pa.array(np.asarray(floors, float)), pa.ListArray.from_arrays(cut(np.asarray(whose)[order]), legs), pa.ListArray.from_arrays(cut(np.asarray(q)), near)],
         names=["rep", "code", "scale", "bound", "floor", "groups", "near"],
     )
 

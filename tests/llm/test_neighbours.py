@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from lodeseek.llm.neighbours import SLACK, Search, Tree, chi_square_quantile, encode, most_similar, pairs_of
+from lodeseek.llm.neighbours import SLACK, Search, Tree, _legs, chi_square_quantile, encode, most_similar, pairs_of
 
 SCHEMA = "id bigint, embedding array<float>, rep string, key string, cosine string"
 
@@ -114,6 +116,36 @@ def test_tree():
     assert (every[q, to] >= floor[q] - 1e-5).all() and every.sum(axis=1).min() > 0.99
 
 
+def test_a_group_looks_only_at_leaves_that_hold_something(spark, monkeypatch):
+    """In a group, chances are not worked out for each query and each leaf: at 5.6 million vectors these were most of the CPU time."""
+    steps, cells, kept = [], [], Tree.chances
+    ops = PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: steps.append(f) or ops(self, f, schema))
+    x = clustered(3000, 32)
+    most_similar(frame(spark, list(enumerate(x[:50]))), 5, 0.9, leaf=1)  # the step depends on the tree alone
+    home = steps[0]
+    t = dict(zip(home.__code__.co_freevars, home.__closure__, strict=True))["tree"].cell_contents.value
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    code, scale = encode(u)
+    leaf = t.leaf_of(t.project(code * scale[:, None]))
+    table = pa.table({"rep": np.arange(3000), "leaf": leaf.astype(np.int32), "code": [c.tobytes() for c in code], "scale": scale, "first": np.ones(3000, bool)})
+    group = leaf >> t.group_bits == 0
+    monkeypatch.setattr(Tree, "chances", lambda self, p, c, leaves: cells.append(len(p) * len(leaves)) or kept(self, p, c, leaves))
+    out = home(table, table.filter(pa.array(group))).to_pylist()
+    got = {(r["rep"], n["b"]) for r in out for n in r["near"] if n["sim"] >= 0.9}
+    assert got <= brute(list(range(3000)), x, 50, 0.9) and got
+    assert sum(cells) < 3000 * len(np.unique(leaf[group])) / 4
+
+
+def test_legs():
+    who, to = np.array([0, 0, 0, 2, 2]), np.array([1, 15, 16, 3, 40])
+    q, group, marks = _legs(who, to, 4)
+    assert q.tolist() == [0, 0, 2, 2] and group.tolist() == [0, 1, 0, 2]
+    at = np.unpackbits(marks, axis=1, count=16, bitorder="little")
+    assert [np.flatnonzero(r).tolist() for r in at] == [[1, 15], [0], [3], [8]]
+    assert [len(v) for v in _legs(who[:0], to[:0], 0)] == [0, 0, 0] and _legs(who, to, 0)[2].tolist() == [[1]] * 5
+
+
 def test_chi_square_test_and_codes():
     assert chi_square_quantile(16, 0.001) == pytest.approx(39.25, abs=0.3) and chi_square_quantile(8, 0.05) == pytest.approx(15.51, abs=0.1)
     rng = np.random.default_rng(5)
