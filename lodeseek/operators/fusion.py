@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from lodeseek.functions.paths import file_type_multiplier
 from lodeseek.functions.scoring import min_max_best_low, rrf
 from lodeseek.functions.text import identifier_boost
-from lodeseek.operators.lexical import LexicalIndex, best, bm25
+from lodeseek.operators.lexical import LexicalIndex, Scan, best_bm25
 from lodeseek.operators.vector import vector_top_k
+from lodeseek.session import staged
+
+BROADCAST_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -31,8 +34,12 @@ def fuse(vec: DataFrame, fts: DataFrame) -> DataFrame:
 
 
 def _with_text(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Text and path are joined only now, to the few candidates."""
-    return candidates.join(chunks.select("id", "file_path", "chunk_text", "start_line", "end_line"), "id").join(queries.select("query_id", "query_text"), "query_id")
+    """Text and path are joined only now, to the few candidates; up to BROADCAST_IDS of their ids are broadcast, so that other chunks' texts are not shuffled."""
+    candidates = staged(candidates, "candidates")
+    rows = chunks.select("id", "file_path", "chunk_text", "start_line", "end_line")
+    if candidates.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(candidates.select("id").distinct()), "id", "left_semi")
+    return candidates.join(rows, "id").join(queries.select("query_id", "query_text"), "query_id")
 
 
 # Fixed value: what results say that were found by words because no query vector could be had.
@@ -43,14 +50,14 @@ def _within(chunks: DataFrame, path_prefix: Column | None) -> DataFrame | None:
     return None if path_prefix is None else chunks.where(path_prefix).select("id")
 
 
-def hybrid_search(chunks: DataFrame, index: LexicalIndex, queries: DataFrame, top_k: int = 10, threshold: float = 0.35, weights: Weights = Weights(), path_prefix: Column | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, index: LexicalIndex | Scan, queries: DataFrame, top_k: int = 10, threshold: float = 0.35, weights: Weights = Weights(), path_prefix: Column | None = None) -> DataFrame:
     """The best chunks of each query: query_id, id, file_path, start_line, end_line, similarity, score, place, chunk_text.
 
     `queries` has query_id, query_text and query_vector. A chunk stays if its similarity reaches the
     threshold, or if it has none but a score. Candidates are the 2 * top_k best of either list.
     """
     vec = vector_top_k(chunks, queries, 2 * top_k, path_prefix=path_prefix)
-    fts = best(bm25(index, queries, within=_within(chunks, path_prefix)).withColumn("bm25", F.round("bm25", 12)), "bm25", 2 * top_k, ascending=True)
+    fts = best_bm25(index, queries, 2 * top_k, within=_within(chunks, path_prefix))
     c = _with_text(fuse(vec, fts), chunks, queries)
     base = F.lit(weights.vector) * F.col("similarity") + F.lit(weights.bm25) * F.col("bm25_scaled") + F.lit(weights.rrf) * F.col("rrf")
     score = F.round(base * file_type_multiplier(F.col("file_path")) * identifier_boost(F.col("query_text"), F.col("chunk_text")), 12)
@@ -59,12 +66,12 @@ def hybrid_search(chunks: DataFrame, index: LexicalIndex, queries: DataFrame, to
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k).select("query_id", "id", "file_path", "start_line", "end_line", "similarity", "score", "place", "chunk_text")
 
 
-def word_search(chunks: DataFrame, index: LexicalIndex, queries: DataFrame, top_k: int = 10, path_prefix: Column | None = None) -> DataFrame:
+def word_search(chunks: DataFrame, index: LexicalIndex | Scan, queries: DataFrame, top_k: int = 10, path_prefix: Column | None = None) -> DataFrame:
     """Search by words only, as where no query vector can be had; same columns, similarity 0, and a note.
 
     The 2 * top_k best matches are scaled and weighed, and the top_k best of them stay.
     """
-    fts = best(bm25(index, queries, within=_within(chunks, path_prefix)).withColumn("bm25", F.round("bm25", 12)), "bm25", 2 * top_k, ascending=True)
+    fts = best_bm25(index, queries, 2 * top_k, within=_within(chunks, path_prefix))
     scaled = fts.withColumn("bm25_scaled", min_max_best_low(F.col("bm25"), Window.partitionBy("query_id")))
     c = _with_text(scaled, chunks, queries)
     score = F.round(F.col("bm25_scaled") * file_type_multiplier(F.col("file_path")) * identifier_boost(F.col("query_text"), F.col("chunk_text")), 12)

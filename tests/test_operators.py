@@ -189,3 +189,10 @@ def test_phrases_without_an_index(spark, sf, monkeypatch):
     assert rows(lexical.Scan(twice)) == want
     monkeypatch.setattr(search, "word_index", no_index)
     assert search.bm25_phrase(spark, sf).columns == ["phrase", "id", "f"]
+
+
+def test_hybrid_without_an_index(spark, sf, monkeypatch):
+    from lodeseek.plans import search
+
+    monkeypatch.setattr(search, "word_index", no_index)
+    assert search.hybrid_search_merged(spark, sf).count() > 0
