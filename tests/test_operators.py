@@ -196,3 +196,14 @@ def test_hybrid_without_an_index(spark, sf, monkeypatch):
 
     monkeypatch.setattr(search, "word_index", no_index)
     assert search.hybrid_search_merged(spark, sf).count() > 0
+
+
+def test_path_filter_without_an_index(spark, sf, monkeypatch):
+    from lodeseek.plans import search
+
+    q, rows = asked_of_five(spark), five(spark)
+    own = rows.where("file_path like '%.py' or id = 1")
+    assert bm25_rows(lexical.Scan(rows), q, "fallback", within=own) == bm25_rows(lexical.build_index(rows), q, "fallback", within=own) != []
+    monkeypatch.setattr(search, "word_index", no_index)
+    monkeypatch.setattr(search, "chunks", no_index)
+    assert search.bm25_path_filtered(spark, sf).count() > 0
