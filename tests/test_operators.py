@@ -207,3 +207,14 @@ def test_path_filter_without_an_index(spark, sf, monkeypatch):
     monkeypatch.setattr(search, "word_index", no_index)
     monkeypatch.setattr(search, "chunks", no_index)
     assert search.bm25_path_filtered(spark, sf).count() > 0
+
+
+def test_fallback_without_an_index(spark, sf, monkeypatch):
+    from lodeseek.plans import search
+
+    q, rows = asked_of_five(spark), five(spark)
+    got = bm25_rows(lexical.Scan(rows), q, "fallback")
+    assert got == bm25_rows(lexical.build_index(rows), q, "fallback")
+    assert {r[:2] for r in got if r[0] in (1, 6)} == {(1, 3), (6, 3)} and {r[1] for r in got if r[0] == 2} >= {1, 3, 4}
+    monkeypatch.setattr(search, "word_index", no_index)
+    assert search.bm25_and_or_fallback(spark, sf).count() > 0
