@@ -218,3 +218,15 @@ def test_fallback_without_an_index(spark, sf, monkeypatch):
     assert {r[:2] for r in got if r[0] in (1, 6)} == {(1, 3), (6, 3)} and {r[1] for r in got if r[0] == 2} >= {1, 3, 4}
     monkeypatch.setattr(search, "word_index", no_index)
     assert search.bm25_and_or_fallback(spark, sf).count() > 0
+
+
+def test_any_phrase_in_several_searches(spark, sf, monkeypatch):
+    from lodeseek.plans import search
+
+    q, rows = asked_of_five(spark), five(spark)
+    want = bm25_rows(lexical.build_index(rows), q, "or")
+    monkeypatch.setattr(lexical, "PHRASES_AT_ONCE", 4)
+    assert bm25_rows(lexical.Scan(rows), q, "or") == want != []
+    assert bm25_rows(lexical.Scan(rows.limit(0)), q, "or") == bm25_rows(lexical.Scan(rows), q.limit(0), "or") == []
+    monkeypatch.setattr(search, "word_index", no_index)
+    assert search.bm25_or(spark, sf).count() > 0
