@@ -230,3 +230,18 @@ def test_any_phrase_in_several_searches(spark, sf, monkeypatch):
     assert bm25_rows(lexical.Scan(rows.limit(0)), q, "or") == bm25_rows(lexical.Scan(rows), q.limit(0), "or") == []
     monkeypatch.setattr(search, "word_index", no_index)
     assert search.bm25_or(spark, sf).count() > 0
+
+
+def test_best_matches_are_those_of_all_matches(spark, monkeypatch):
+    many = spark.createDataFrame([(5 * k + i, f"{k}/{p}", 0, f"{t} {'auth ' * (k % 3)}", 1, 1, None, "h", ids) for k in range(9) for i, p, t, ids in FIVE], CHUNKS)
+    q, index = asked_of_five(spark), lexical.build_index(many)
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        every = lexical.bm25(index, q, "fallback", digits=12)
+        want = sorted(map(tuple, lexical.best(every, "bm25", 3, True).collect()))
+        for x in (index, lexical.Scan(many)):
+            assert sorted(map(tuple, lexical.best_bm25(x, q, 3).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r[0] for r in want} == {1, 2, 4, 5, 6} and len(want) == 15
