@@ -245,3 +245,13 @@ def test_best_matches_are_those_of_all_matches(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r[0] for r in want} == {1, 2, 4, 5, 6} and len(want) == 15
+
+
+def test_texts_of_candidates_alone_are_joined(spark, sf, monkeypatch):
+    from lodeseek.operators import fusion
+    from lodeseek.plans import search
+
+    rows = lambda: sorted(map(tuple, search.search_results(spark, sf).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(fusion, "BROADCAST_IDS", 0)
+    assert rows() == broadcast and broadcast
